@@ -268,7 +268,8 @@ FROM after a LEFT JOIN before b
 WHERE a.impressions IS DISTINCT FROM b.impressions OR a.clicks IS DISTINCT FROM b.clicks
    OR a.conversions IS DISTINCT FROM b.conversions
    OR a.late_conversion_count IS DISTINCT FROM b.late_conversion_count
-   OR a.cvr IS DISTINCT FROM b.cvr OR a.cpa IS DISTINCT FROM b.cpa""",
+   OR round(a.cvr, 6) IS DISTINCT FROM round(b.cvr, 6)
+   OR round(a.cpa, 6) IS DISTINCT FROM round(b.cpa, 6)""",
     "bronze_parse": """WITH m AS (
   SELECT *, event_type = 'error' AS bad FROM events)
 SELECT event_id AS kafka_offset,
