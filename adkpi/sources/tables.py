@@ -42,8 +42,10 @@ class DayTable:
         return cls(layout.gold(table), GOLD, "summary_date", keys, null_safe=True, name=name)
 
     def read(self, spark: SparkSession) -> DataFrame:
+        """All rows, columns in table order; a table nobody has written yet is empty."""
         try:
-            return spark.read.schema(self.schema).parquet(self.path)
+            rows = spark.read.schema(self.schema).parquet(self.path)
+            return rows.select(*self.schema.fieldNames())
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -90,8 +92,12 @@ class DayTable:
 
     def ensure(self, spark: SparkSession) -> None:
         """Create the namespace and the catalog entry if they are missing."""
-        if self.name is None:
+        if self.name is None or spark.catalog.tableExists(self.name):
             return
+        # The folder must exist before its partitions can be looked up; appending nothing
+        # creates it and leaves one that is already there as it is.
+        nothing = spark.createDataFrame([], self.schema)
+        nothing.write.mode("append").partitionBy(self.day).parquet(self.path)
         namespace = self.name.rpartition(".")[0]
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
