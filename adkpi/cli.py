@@ -70,6 +70,7 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--raw-format", choices=FORMATS, default="parquet")
     job.add_argument("--mode", choices=silver.MODES, default="merge")
     job.add_argument("--since", type=dt.date.fromisoformat, default=None)
+    job.add_argument("--trust-dates", action="store_true")
     _add_window(job, silver.MERGE_WINDOW_DAYS)
     _add_layout(job)
 
@@ -139,6 +140,7 @@ def _silver(spark, args) -> dict:
         as_of=args.as_of,
         raw_format=args.raw_format,
         since=args.since,
+        trust_dates=args.trust_dates,
         only_changed=args.only_changed,
         table=DayTable.silver(layout, args.table, args.database),
         merge_table=args.merge_table,

@@ -29,7 +29,7 @@ def assemble_silver(
     clicks: DataFrame,
     conversions: DataFrame,
     updated_at: Column | None = None,
-    fixed_dates_since: dt.date | None = None,
+    fixed_dates_since: Column | None = None,
 ) -> DataFrame:
     """Impression left-joined to its click and its conversion.
 
@@ -41,7 +41,9 @@ def assemble_silver(
     reaches the scan. Use it only where all copies of an id carry one event time.
     """
     if fixed_dates_since is not None:
-        impressions = impressions.filter(F.to_date("event_timestamp") >= F.lit(fixed_dates_since))
+        impressions = impressions.filter(
+            F.col("event_timestamp") >= fixed_dates_since.cast("timestamp")
+        )
     base = latest_impressions(impressions).select(
         "event_id",
         F.to_date("event_timestamp").alias("event_date"),
@@ -75,13 +77,17 @@ def recent_days(
     df: DataFrame, days: int, as_of: dt.date | None = None, day: str = "event_date"
 ) -> DataFrame:
     """Rows from ``days`` before ``as_of`` on, without an upper bound."""
-    return df.filter(F.col(day) >= F.date_sub(as_of_day(as_of), days))
+    return df.filter(F.col(day) >= first_recent_day(days, as_of))
+
+
+def first_recent_day(days: int, as_of: dt.date | None = None) -> Column:
+    return F.date_sub(as_of_day(as_of), days)
 
 
 def orphan_events(events: DataFrame, impressions: DataFrame) -> DataFrame:
     """Click or conversion ids that have no impression (yet)."""
     ids = split_rejects(events)[0].select("event_id").distinct()
-    known = split_rejects(impressions)[0].select("event_id")
+    known = split_rejects(impressions)[0].select("event_id").distinct()
     return ids.join(known, "event_id", "left_anti")
 
 

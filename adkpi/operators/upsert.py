@@ -60,6 +60,7 @@ def upsert_table(
     only_changed: bool = False,
     replace_where: Column | None = None,
     check_unique: bool = True,
+    rows_keep_day: bool = False,
 ) -> list[dt.date]:
     """Upsert ``source`` into ``table`` and return the days whose rows may have changed.
 
@@ -70,6 +71,8 @@ def upsert_table(
 
     ``only_changed`` skips source rows equal to what the table holds. ``replace_where``
     is a condition on the day: rows it selects go unless the source still has their key.
+    ``rows_keep_day`` looks for replaced rows only in the days of the source, instead of
+    matching keys against the whole table; use it where a key can never change its day.
     """
     spark = source.sparkSession
     table.ensure(spark)
@@ -88,7 +91,8 @@ def upsert_table(
         gone = _without(target.filter(replace_where), full_source, keys, table.null_safe)
 
     source_days = _days(source.select(table.day))
-    replaced = _join(target, source, keys, table.null_safe, "left_semi")
+    lookup = target.filter(F.col(table.day).isin(sorted(source_days))) if rows_keep_day else target
+    replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
     leaving = _days(replaced.select(table.day).unionByName(gone.select(table.day)))
     touched = sorted(source_days | leaving)
     if not touched:

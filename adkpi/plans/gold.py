@@ -9,8 +9,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from adkpi.functions.scalars import as_of_day
-from adkpi.operators.assemble import recent_days
+from adkpi.operators.assemble import first_recent_day, recent_days
 from adkpi.operators.kpis import LATE_THRESHOLD_SEC, PERCENTILE_ACCURACY, campaign_kpis
 from adkpi.operators.quality import assert_quality
 from adkpi.operators.upsert import merge_into, upsert_table
@@ -54,7 +53,7 @@ def run(
         selected = F.col("summary_date").isin(list(days))
     elif window_days is not None:
         events = recent_days(events, window_days, as_of)
-        selected = F.col("summary_date") >= F.date_sub(as_of_day(as_of), window_days)
+        selected = F.col("summary_date") >= first_recent_day(window_days, as_of)
     else:
         selected = F.lit(True)
     kpis = staged(

@@ -5,9 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from adkpi.operators.assemble import assemble_silver, assemble_touched, recent_days, touched_ids
+from adkpi.operators.assemble import (
+    assemble_silver,
+    assemble_touched,
+    first_recent_day,
+    recent_days,
+    touched_ids,
+)
 from adkpi.operators.upsert import merge_into, upsert_table
 from adkpi.paths import Layout
 from adkpi.session import staged
@@ -29,6 +36,7 @@ def run(
     raw_format: str = "parquet",
     since: dt.date | None = None,
     only_changed: bool = False,
+    trust_dates: bool = False,
     table: DayTable | None = None,
     merge_table: str | None = None,
 ) -> dict[str, Any]:
@@ -37,6 +45,9 @@ def run(
     ``merge`` upserts the days of the window (None: all days); ``full-refresh`` replaces
     the days that occur; ``replace-all`` replaces the table. ``since`` restricts a merge to
     ids ingested from that day on, which gives the same rows from less work.
+    ``trust_dates`` says that all copies of an id carry one event time and that nothing is
+    ingested before the day of its impression. Then zone partitions before the window, and
+    table days outside of it, cannot matter and are not read.
     ``merge_table`` names a catalog table with row-level merge to use instead of files.
     """
     if mode not in MODES:
@@ -45,21 +56,53 @@ def run(
         raise ValueError("since needs mode merge, as other modes would lose untouched rows")
     table = table or DayTable.silver(layout)
     zones = read_zones(spark, layout, raw_format)
+    first_day = None
+    if trust_dates:
+        if mode != "merge" or window_days is None:
+            raise ValueError("trust_dates needs mode merge with a window of recent days")
+        first_day = first_recent_day(window_days, as_of)
+        zones = {kind: z.filter(F.col("raw_date") >= first_day) for kind, z in zones.items()}
     if since is None:
-        rows = assemble_silver(zones["impression"], zones["click"], zones["conversion"])
+        rows = assemble_silver(
+            zones["impression"], zones["click"], zones["conversion"], fixed_dates_since=first_day
+        )
     else:
         rows = assemble_touched(zones, staged(touched_ids(zones, since)))
 
+    seen = Observation("silver")
     days: list[dt.date] | None = None
     if mode == "merge":
         if window_days is not None:
             rows = recent_days(rows, window_days, as_of)
+        rows = _counted(rows, seen)
         if merge_table:
             merge_into(rows, merge_table, table.keys)
         else:
             # One row per id by construction, so the uniqueness check is not repeated.
-            days = upsert_table(table, rows, only_changed=only_changed, check_unique=False)
+            days = upsert_table(
+                table,
+                rows,
+                only_changed=only_changed,
+                check_unique=False,
+                rows_keep_day=trust_dates,
+            )
     else:
         table.ensure(spark)
+        rows = _counted(rows, seen)
         (table.overwrite_days if mode == "full-refresh" else table.replace_all)(rows)
-    return {"table": merge_table or table.path, "mode": mode, "touched_days": days}
+    return {
+        "table": merge_table or table.path,
+        "mode": mode,
+        "touched_days": days,
+        **seen.get,
+    }
+
+
+def _counted(rows: DataFrame, seen: Observation) -> DataFrame:
+    """Counts that come for free with the write."""
+    return rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("click").alias("clicks"),
+        F.sum("conversion").alias("conversions"),
+    )

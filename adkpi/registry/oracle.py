@@ -288,6 +288,9 @@ SELECT event_id AS kafka_offset,
        CAST(ts AS DATE) AS raw_date,
        CAST(hour(ts) AS INTEGER) AS raw_hour
 FROM m""",
+    "rejected_messages": """SELECT event_id AS kafka_offset, CAST(ts AS DATE) AS raw_date,
+       'broken ' || CAST(event_id AS VARCHAR) AS raw_value
+FROM events WHERE event_type = 'error'""",
     "normalise_events": f"""WITH {RECORDS}
 SELECT row_key, ts AS "timestamp", uid, campaign, click, conversion,
        conversion_ts AS conversion_timestamp, round(cost, 6) AS cost FROM records""",

@@ -25,7 +25,7 @@ from adkpi.operators.explode import (
     with_event_ids,
 )
 from adkpi.operators.kpis import campaign_base, campaign_kpis
-from adkpi.operators.latest import latest_per_key
+from adkpi.operators.latest import latest_per_key, split_rejects
 from adkpi.operators.normalise import normalise, rebase_offset, timestamp_range
 from adkpi.operators.parse import parse_messages
 from adkpi.operators.position import first_by_time, sorted_by_time, with_position, with_splits
@@ -260,6 +260,14 @@ def bronze_parse(spark, sf_dir):
     )
 
 
+def rejected_messages(spark, sf_dir):
+    """Messages without an event id: stored in the raw zone, never joined."""
+    parsed = parse_messages(
+        fixtures.messages(spark, sf_dir), "impression", F.col("kafka_timestamp")
+    )
+    return split_rejects(parsed)[1].select("kafka_offset", "raw_date", "raw_value")
+
+
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fixtures.combined_records(spark, sf_dir)
     return normalise(raw, rebase_offset(raw), carry=("row_key",))
@@ -376,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "partition_overwrite": partition_overwrite,
     "late_correction": late_correction,
     "bronze_parse": bronze_parse,
+    "rejected_messages": rejected_messages,
     "normalise_events": normalise_events,
     "rebase_timestamps": rebase_timestamps,
     "timestamp_range": time_range,

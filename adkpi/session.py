@@ -26,6 +26,9 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "134217728",
+        # A task reading one day of silver meets every campaign of that day. The default of
+        # 128 percentile sketches in memory would make most such tasks sort their rows.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -196,6 +196,35 @@ def test_missing_zones_are_empty(spark, tmp_path):
     assert silver_rows(spark, layout) == {"e1": (0, 0, None, 1.0)}
 
 
+def test_trusted_dates_give_the_same_table_from_fewer_partitions(spark, tmp_path):
+    results = []
+    for trust in (False, True):
+        layout = Layout.for_warehouse(str(tmp_path / str(trust)))
+        batch_a(spark, layout)
+        old = [("old", B - 86400 * 9, "u9", 1, 9.0)]
+        write_zone(spark, layout, "impression", old, IMPRESSION, 6)
+        silver.run(spark, layout, as_of=AS_OF, window_days=None)
+        batch_b(spark, layout)
+        report = silver.run(spark, layout, as_of=AS_OF, trust_dates=trust)
+        assert (report["rows"], report["clicks"], report["conversions"]) == (7, 3, 3)
+        results.append(silver_rows(spark, layout))
+    assert results[0] == results[1] == {**SILVER_AFTER_B, "old": (0, 0, None, 9.0)}
+
+
+def test_day_filters_reach_the_scans(spark, tmp_path):
+    from adkpi.operators.assemble import recent_days, touched_ids
+
+    layout = Layout.for_warehouse(str(tmp_path))
+    batch_a(spark, layout)
+    silver.run(spark, layout, as_of=AS_OF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    recent = plan(recent_days(DayTable.silver(layout).read(spark), 7))
+    assert "PartitionFilters: [isnotnull(event_date" in recent
+    touched = plan(touched_ids(read_zones(spark, layout), D16))
+    assert touched.count("PartitionFilters: [isnotnull(raw_date") == 3
+    assert touched.count("ReadSchema: struct<event_id:string>") == 3
+
+
 def test_early_date_filter_gives_the_same_recent_rows(spark, tmp_path):
     from adkpi.operators.assemble import assemble_silver, recent_days
 
@@ -204,5 +233,5 @@ def test_early_date_filter_gives_the_same_recent_rows(spark, tmp_path):
     batch_b(spark, layout)
     z = [read_zones(spark, layout)[k] for k in ("impression", "click", "conversion")]
     late = recent_days(assemble_silver(*z, updated_at=F.lit(None)), 1, AS_OF)
-    early = assemble_silver(*z, updated_at=F.lit(None), fixed_dates_since=D16)
+    early = assemble_silver(*z, updated_at=F.lit(None), fixed_dates_since=F.lit(D16))
     assert sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
