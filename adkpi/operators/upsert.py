@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +61,7 @@ def upsert_table(
     replace_where: Column | None = None,
     check_unique: bool = True,
     rows_keep_day: bool = False,
-) -> list[dt.date]:
+) -> list[dt.date | None]:
     """Upsert ``source`` into ``table`` and return the days whose rows may have changed.
 
     The source is staged, then only the days are rewritten that hold a source row or a
@@ -82,23 +82,27 @@ def upsert_table(
         require_unique(source, keys)
     target = table.read(spark)
 
+    lookup = target
+    if rows_keep_day:
+        lookup = target.filter(in_days(table.day, _days(source.select(table.day))))
     full_source = source
     if only_changed:
-        source = staged(changed_rows(target, source))
+        # Only rows whose key the source holds can tell whether it changed anything.
+        lookup = staged(_join(lookup, source, keys, table.null_safe, "left_semi"))
+        source = staged(changed_rows(lookup, source))
 
     gone = target.limit(0)
     if replace_where is not None:
         gone = _without(target.filter(replace_where), full_source, keys, table.null_safe)
 
     source_days = _days(source.select(table.day))
-    lookup = target.filter(F.col(table.day).isin(sorted(source_days))) if rows_keep_day else target
     replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
     leaving = _days(replaced.select(table.day).unionByName(gone.select(table.day)))
-    touched = sorted(source_days | leaving)
+    touched = source_days | leaving
     if not touched:
         return []
 
-    affected = target.filter(F.col(table.day).isin(touched))
+    affected = target.filter(in_days(table.day, touched))
     remaining = _without(affected, source, keys, table.null_safe)
     if replace_where is not None:
         # Rows the source still has, but unchanged, stay in place.
@@ -107,14 +111,19 @@ def upsert_table(
         )
         remaining = remaining.filter(~replace_where).unionByName(known)
 
-    candidates = sorted(leaving - source_days)
-    emptied: list[dt.date] = []
-    if candidates:
-        left = _days(remaining.filter(F.col(table.day).isin(candidates)).select(table.day))
-        emptied = [day for day in candidates if day not in left]
+    emptied = leaving - source_days
+    if emptied:
+        emptied -= _days(remaining.filter(in_days(table.day, emptied)).select(table.day))
     table.overwrite_days(remaining.unionByName(source))
     table.empty_days(spark, emptied)
-    return touched
+    return sorted(touched, key=lambda day: (day is not None, day))
+
+
+def in_days(column: str, days: Iterable[dt.date | None]) -> Column:
+    """True for rows of the given days; None stands for rows without a day."""
+    days = set(days)
+    selected = F.col(column).isin(sorted(day for day in days if day is not None))
+    return selected | F.col(column).isNull() if None in days else selected
 
 
 def merge_into(
@@ -148,6 +157,6 @@ def _without(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe:
     return _join(left, right, keys, null_safe, "left_anti")
 
 
-def _days(days: DataFrame) -> set[dt.date]:
+def _days(days: DataFrame) -> set[dt.date | None]:
     """Distinct days on the driver: bounded by the calendar, not by the data."""
-    return {row[0] for row in days.distinct().collect() if row[0] is not None}
+    return {row[0] for row in days.distinct().collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from adkpi.operators.assemble import first_recent_day, recent_days
 from adkpi.operators.kpis import LATE_THRESHOLD_SEC, PERCENTILE_ACCURACY, campaign_kpis
 from adkpi.operators.quality import assert_quality
-from adkpi.operators.upsert import merge_into, upsert_table
+from adkpi.operators.upsert import in_days, merge_into, upsert_table
 from adkpi.paths import Layout
 from adkpi.session import staged
 from adkpi.sources.tables import DayTable, read_table
@@ -28,7 +28,7 @@ def run(
     late_threshold_sec: int = LATE_THRESHOLD_SEC,
     as_of: dt.date | None = None,
     check: bool = True,
-    days: Sequence[dt.date] | None = None,
+    days: Sequence[dt.date | None] | None = None,
     accuracy: int = PERCENTILE_ACCURACY,
     exact_percentiles: bool = False,
     only_changed: bool = False,
@@ -49,8 +49,8 @@ def run(
     table = table or DayTable.gold(layout)
     events = read_table(spark, silver_table) if silver_table else silver.read(spark)
     if days is not None:
-        events = events.filter(F.col("event_date").isin(list(days)))
-        selected = F.col("summary_date").isin(list(days))
+        events = events.filter(in_days("event_date", days))
+        selected = in_days("summary_date", days)
     elif window_days is not None:
         events = recent_days(events, window_days, as_of)
         selected = F.col("summary_date") >= first_recent_day(window_days, as_of)
@@ -64,7 +64,7 @@ def run(
     if check:
         assert_quality(kpis)
 
-    touched: list[dt.date] | None = None
+    touched: list[dt.date | None] | None = None
     if merge_table:
         merge_into(kpis, merge_table, table.keys, null_safe=True)
     else:

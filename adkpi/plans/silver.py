@@ -70,7 +70,7 @@ def run(
         rows = assemble_touched(zones, staged(touched_ids(zones, since)))
 
     seen = Observation("silver")
-    days: list[dt.date] | None = None
+    days: list[dt.date | None] | None = None
     if mode == "merge":
         if window_days is not None:
             rows = recent_days(rows, window_days, as_of)

@@ -14,6 +14,10 @@ from adkpi.paths import Layout
 from adkpi.schemas import GOLD, SILVER
 
 
+# Fixed value: folder name of the partition that holds rows without a day.
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
 @dataclass(frozen=True)
 class DayTable:
     """A table partitioned by one date column.
@@ -76,12 +80,13 @@ class DayTable:
         ).partitionBy(self.day).parquet(self.path)
         self.refresh(df.sparkSession)
 
-    def empty_days(self, spark: SparkSession, days: list[dt.date]) -> None:
+    def empty_days(self, spark: SparkSession, days: set[dt.date | None]) -> None:
         """Leave the given days without rows; an overwrite alone never clears a day."""
         columns = T.StructType([f for f in self.schema if f.name != self.day])
         nothing = spark.createDataFrame([], columns).coalesce(1)
         for day in days:
-            nothing.write.mode("overwrite").parquet(f"{self.path}/{self.day}={day.isoformat()}")
+            value = _NO_DAY if day is None else day.isoformat()
+            nothing.write.mode("overwrite").parquet(f"{self.path}/{self.day}={value}")
         if days:
             self.refresh(spark)
 

@@ -82,6 +82,19 @@ def test_row_that_empties_its_day(spark, table):
         assert content(spark, table) == [("a", DAYS[1], 2.0), ("c", DAYS[1], 3.0)]
 
 
+def test_rows_without_a_day_are_kept_and_may_get_one(spark, table):
+    upsert_table(table, silver_frame(spark, [("a", None, 1.0), ("b", None, 2.0)]))
+    assert upsert_table(table, silver_frame(spark, [("a", None, 3.0), ("c", DAYS[0], 4.0)])) == [
+        None,
+        DAYS[0],
+    ]
+    stored = lambda: {r.event_id: (r.event_date, r.cost) for r in table.read(spark).collect()}
+    assert stored() == {"a": (None, 3.0), "b": (None, 2.0), "c": (DAYS[0], 4.0)}
+    upsert_table(table, silver_frame(spark, [("a", DAYS[1], 5.0), ("b", DAYS[1], 6.0)]))
+    assert stored() == {"a": (DAYS[1], 5.0), "b": (DAYS[1], 6.0), "c": (DAYS[0], 4.0)}
+    assert table.read(spark).count() == 3
+
+
 def test_untouched_days_are_not_rewritten(spark, table, tmp_path):
     upsert_table(table, silver_frame(spark, [("a", DAYS[0], 1.0), ("b", DAYS[1], 2.0)]))
     files = lambda day: sorted(p.name for p in tmp_path.rglob(f"event_date={day}/*.parquet"))
