@@ -247,10 +247,11 @@ SELECT {KPI_COLUMNS} FROM (
   SELECT t.* FROM target t WHERE NOT EXISTS (
     SELECT 1 FROM update u WHERE u.summary_date IS NOT DISTINCT FROM t.summary_date
       AND u.campaign IS NOT DISTINCT FROM t.campaign))""",
-    "partition_overwrite": f"""{MERGE}
-SELECT * FROM source
+    "partition_overwrite": f"""{MERGE},
+converted AS (SELECT * FROM source WHERE conversion = 1)
+SELECT * FROM converted
 UNION ALL
-SELECT * FROM early WHERE event_date NOT IN (SELECT event_date FROM source)""",
+SELECT * FROM early WHERE event_date NOT IN (SELECT event_date FROM converted)""",
     "late_correction": f"""{MERGE}, {MERGED},
 {_kpis('before', 'early')}, {_kpis('after', 'merged')}
 SELECT a.summary_date, a.campaign,

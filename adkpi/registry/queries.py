@@ -210,7 +210,8 @@ def gold_upsert(spark, sf_dir):
 
 
 def partition_overwrite(spark, sf_dir):
-    source = staged(_merge_source(spark, sf_dir))
+    """Converted events replace whole days, so other rows of those days go."""
+    source = staged(_merge_source(spark, sf_dir).filter(F.col("conversion") == 1))
     return overwrite_days_frames(_early_silver(spark, sf_dir), source, "event_date")
 
 
