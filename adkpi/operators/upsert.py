@@ -32,7 +32,8 @@ def upsert_frames(
 
 def overwrite_days_frames(target: DataFrame, source: DataFrame, day: str) -> DataFrame:
     """Source rows, plus target rows of days the source does not touch."""
-    # A set of calendar days is a few thousand values at most, whatever the table size.
+    # Whatever the table size, a set of calendar days is bounded by the range of DATE, and
+    # is a few thousand values in practice.
     days = source.select(day).distinct()
     kept = target.join(F.broadcast(days), target[day].eqNullSafe(days[day]), "left_anti")
     return kept.unionByName(source)
@@ -91,13 +92,16 @@ def upsert_table(
         lookup = staged(_join(lookup, source, keys, table.null_safe, "left_semi"))
         source = staged(changed_rows(lookup, source))
 
-    gone = target.limit(0)
+    replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
+    leaving_rows = replaced.select(table.day)
     if replace_where is not None:
         gone = _without(target.filter(replace_where), full_source, keys, table.null_safe)
-
-    source_days = _days(source.select(table.day))
-    replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
-    leaving = _days(replaced.select(table.day).unionByName(gone.select(table.day)))
+        leaving_rows = leaving_rows.unionByName(gone.select(table.day))
+    arriving = source.select(table.day, F.lit(True).alias("arrives"))
+    by_role = arriving.unionByName(leaving_rows.withColumn("arrives", F.lit(False))).distinct()
+    source_days, leaving = set(), set()
+    for day, arrives in by_role.collect():
+        (source_days if arrives else leaving).add(day)
     touched = source_days | leaving
     if not touched:
         return []

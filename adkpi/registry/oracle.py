@@ -150,7 +150,7 @@ placed AS (
 numbered AS (SELECT *, printf('evt_%08d', position) AS event_id FROM placed)"""
 
 _CLICK_WAIT = "CAST('0x' || substr(md5('42|' || event_id), 1, 8) AS BIGINT) % 30 + 1"
-_ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S')"
+_ISO = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%S')"
 
 IMPRESSION_EVENTS = f"""
 SELECT event_id, 'impression' AS event_type, ts AS "timestamp", {_ISO.format("ts")} AS event_time,
@@ -321,8 +321,8 @@ SELECT total, clicks, conversions, round(total_cost, 4) AS total_cost, campaigns
        round(CASE WHEN clicks > 0 THEN conversions * CAST(100 AS DOUBLE) / clicks END, 4)
          AS cvr,
        round(CASE WHEN conversions > 0 THEN total_cost / conversions END, 4) AS cpa,
-       coalesce(strftime(to_timestamp(min_ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' ~ '
-             || strftime(to_timestamp(max_ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M'), 'N/A')
+       coalesce(strftime(make_timestamp(min_ts * 1000000), '%Y-%m-%d %H:%M') || ' ~ '
+             || strftime(make_timestamp(max_ts * 1000000), '%Y-%m-%d %H:%M'), 'N/A')
          AS period
 FROM totals""",
     "sorted_events": f"""WITH {RECORDS}
