@@ -32,7 +32,9 @@ cnv_zone AS (
 
 def _silver(name: str, before: str | None = None) -> str:
     """Silver as CTEs; with ``before`` only from zone rows ingested before that day."""
-    limit = f"WHERE CAST(ingest_ts AS DATE) < DATE '{before}'" if before else ""
+    limit = "WHERE event_id IS NOT NULL"
+    if before:
+        limit += f" AND CAST(ingest_ts AS DATE) < DATE '{before}'"
     return f"""
 {name}_imp AS (
   SELECT * FROM (

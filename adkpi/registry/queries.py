@@ -12,6 +12,7 @@ from adkpi.functions.scalars import clamped_delay
 from adkpi.operators.assemble import (
     assemble_silver,
     assemble_touched,
+    latest_impressions,
     orphan_events,
     recent_days,
     touched_ids,
@@ -25,7 +26,7 @@ from adkpi.operators.explode import (
     with_event_ids,
 )
 from adkpi.operators.kpis import campaign_base, campaign_kpis
-from adkpi.operators.latest import latest_per_key, split_rejects
+from adkpi.operators.latest import split_rejects
 from adkpi.operators.normalise import normalise, rebase_offset, timestamp_range
 from adkpi.operators.parse import parse_messages
 from adkpi.operators.position import first_by_time, sorted_by_time, with_position, with_splits
@@ -106,9 +107,7 @@ def zone_scan(spark, sf_dir):
 
 
 def latest_per_event(spark, sf_dir):
-    copies = fixtures.impressions(spark, sf_dir)
-    ties = ("event_timestamp", "cost", "campaign", "uid")
-    return latest_per_key(copies, ties=ties).select(
+    return latest_impressions(fixtures.impressions(spark, sf_dir)).select(
         "event_id", F.to_date("ingest_ts").alias("ingest_date"), "uid", "campaign", "cost"
     )
 
@@ -219,8 +218,8 @@ def late_correction(spark, sf_dir):
     """Summary before and after late data was merged in, where a KPI of a day changed."""
     early = staged(_early_silver(spark, sf_dir))
     source = _merge_source(spark, sf_dir)
-    before = campaign_kpis(early)
-    after = campaign_kpis(upsert_frames(early, staged(source), ["event_id"]))
+    before = staged(campaign_kpis(early))
+    after = staged(campaign_kpis(upsert_frames(early, staged(source), ["event_id"])))
     merged = upsert_frames(before, after, ["summary_date", "campaign"], null_safe=True)
     shown = ("impressions", "clicks", "conversions", "late_conversion_count", "cvr", "cpa")
     # Rounded first: sums of doubles differ in the last digit with the order of the rows.
