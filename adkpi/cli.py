@@ -13,7 +13,7 @@ from adkpi.plans import explode, gold, prepare, silver
 from adkpi.schemas import TOPICS
 from adkpi.session import build_session
 from adkpi.sources.messages import file_stream, topic_stream
-from adkpi.sources.tables import DayTable
+from adkpi.sources.tables import CatalogTable, DayTable
 from adkpi.sources.zones import FORMATS
 from adkpi.streaming import bronze
 
@@ -31,6 +31,7 @@ def _add_window(parser: argparse.ArgumentParser, days: int) -> None:
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=None)
     parser.add_argument("--only-changed", action="store_true")
     parser.add_argument("--merge-table", default=None, help="catalog table with row-level merge")
+    parser.add_argument("--table-format", default=None, help="format to create that table with")
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -142,8 +143,11 @@ def _silver(spark, args) -> dict:
         since=args.since,
         trust_dates=args.trust_dates,
         only_changed=args.only_changed,
-        table=DayTable.silver(layout, args.table, args.database),
-        merge_table=args.merge_table,
+        table=(
+            CatalogTable.silver(args.merge_table, args.table_format)
+            if args.merge_table
+            else DayTable.silver(layout, args.table, args.database)
+        ),
     )
 
 
@@ -159,10 +163,16 @@ def _gold(spark, args) -> dict:
         exact_percentiles=args.exact_percentiles,
         only_changed=args.only_changed,
         delete_missing=args.delete_missing,
-        silver=DayTable.silver(layout, args.processed_table),
-        table=DayTable.gold(layout, args.summary_table, args.database),
-        silver_table=args.silver_table,
-        merge_table=args.merge_table,
+        silver=(
+            CatalogTable.silver(args.silver_table)
+            if args.silver_table
+            else DayTable.silver(layout, args.processed_table)
+        ),
+        table=(
+            CatalogTable.gold(args.merge_table, args.table_format)
+            if args.merge_table
+            else DayTable.gold(layout, args.summary_table, args.database)
+        ),
     )
 
 

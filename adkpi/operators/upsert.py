@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.session import staged
-from adkpi.sources.tables import DayTable
+from adkpi.sources.tables import CatalogTable, DayTable, conform
 
 CLOCK_COLUMN = "updated_at"
 
@@ -78,7 +78,7 @@ def upsert_table(
     spark = source.sparkSession
     table.ensure(spark)
     keys = list(table.keys)
-    source = staged(table.conform(source))
+    source = staged(conform(source, table.schema))
     if check_unique:
         require_unique(source, keys)
     target = table.read(spark)
@@ -131,18 +131,30 @@ def in_days(column: str, days: Iterable[dt.date | None]) -> Column:
 
 
 def merge_into(
-    source: DataFrame, table_name: str, keys: Sequence[str], null_safe: bool = False
+    table: CatalogTable,
+    source: DataFrame,
+    only_changed: bool = False,
+    replace_where: Column | None = None,
 ) -> None:
-    """Row-level merge for catalogs whose tables support it. Plain Parquet does not."""
-    (
-        source.alias("source")
-        .mergeInto(table_name, _match(table_name, "source", keys, null_safe))
+    """The same upsert as a row-level merge, for catalog tables that support one."""
+    source = staged(conform(source, table.schema))
+    keys = list(table.keys)
+    merged = source
+    # Rows to delete are those the full source lacks, so it must then be merged as a whole.
+    if only_changed and replace_where is None:
+        held = _join(table.read(source.sparkSession), source, keys, table.null_safe, "left_semi")
+        merged = staged(changed_rows(held, source))
+    writer = (
+        merged.alias("source")
+        .mergeInto(table.name, _match(table.name, "source", keys, table.null_safe))
         .whenMatched()
         .updateAll()
         .whenNotMatched()
         .insertAll()
-        .merge()
     )
+    if replace_where is not None:
+        writer = writer.whenNotMatchedBySource(replace_where).delete()
+    writer.merge()
 
 
 def _match(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:

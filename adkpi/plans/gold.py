@@ -15,7 +15,7 @@ from adkpi.operators.quality import assert_quality
 from adkpi.operators.upsert import in_days, merge_into, upsert_table
 from adkpi.paths import Layout
 from adkpi.session import staged
-from adkpi.sources.tables import DayTable, read_table
+from adkpi.sources.tables import CatalogTable, DayTable
 
 # Fixed value: default number of days a run re-aggregates.
 MERGE_WINDOW_DAYS = 7
@@ -33,10 +33,8 @@ def run(
     exact_percentiles: bool = False,
     only_changed: bool = False,
     delete_missing: bool = False,
-    silver: DayTable | None = None,
-    table: DayTable | None = None,
-    silver_table: str | None = None,
-    merge_table: str | None = None,
+    silver: DayTable | CatalogTable | None = None,
+    table: DayTable | CatalogTable | None = None,
 ) -> dict[str, Any]:
     """Re-aggregate recent days (or exactly ``days``), check them, upsert them.
 
@@ -47,7 +45,8 @@ def run(
     """
     silver = silver or DayTable.silver(layout)
     table = table or DayTable.gold(layout)
-    events = read_table(spark, silver_table) if silver_table else silver.read(spark)
+    table.ensure(spark)
+    events = silver.read(spark)
     if days is not None:
         events = events.filter(in_days("event_date", days))
         selected = in_days("summary_date", days)
@@ -64,15 +63,12 @@ def run(
     if check:
         assert_quality(kpis)
 
+    replace_where = selected if delete_missing else None
     touched: list[dt.date | None] | None = None
-    if merge_table:
-        merge_into(kpis, merge_table, table.keys, null_safe=True)
+    if isinstance(table, CatalogTable):
+        merge_into(table, kpis, only_changed, replace_where)
     else:
         touched = upsert_table(
-            table,
-            kpis,
-            only_changed,
-            replace_where=selected if delete_missing else None,
-            check_unique=False,
+            table, kpis, only_changed, replace_where=replace_where, check_unique=False
         )
-    return {"table": merge_table or table.path, "rows": kpis.count(), "touched_days": touched}
+    return {"table": table.name or table.path, "rows": kpis.count(), "touched_days": touched}

@@ -18,7 +18,7 @@ from adkpi.operators.assemble import (
 from adkpi.operators.upsert import merge_into, upsert_table
 from adkpi.paths import Layout
 from adkpi.session import staged
-from adkpi.sources.tables import DayTable
+from adkpi.sources.tables import CatalogTable, DayTable
 from adkpi.sources.zones import read_zones
 
 MODES = ("merge", "full-refresh", "replace-all")
@@ -37,8 +37,7 @@ def run(
     since: dt.date | None = None,
     only_changed: bool = False,
     trust_dates: bool = False,
-    table: DayTable | None = None,
-    merge_table: str | None = None,
+    table: DayTable | CatalogTable | None = None,
 ) -> dict[str, Any]:
     """Rebuild silver rows from the zones and bring them into the table.
 
@@ -48,13 +47,14 @@ def run(
     ``trust_dates`` says that all copies of an id carry one event time and that nothing is
     ingested before the day of its impression. Then zone partitions before the window, and
     table days outside of it, cannot matter and are not read.
-    ``merge_table`` names a catalog table with row-level merge to use instead of files.
+    A ``CatalogTable`` is written by row-level merge instead of partition overwrites.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if since is not None and mode != "merge":
         raise ValueError("since needs mode merge, as other modes would lose untouched rows")
     table = table or DayTable.silver(layout)
+    table.ensure(spark)
     zones = read_zones(spark, layout, raw_format)
     first_day = None
     if trust_dates:
@@ -75,8 +75,8 @@ def run(
         if window_days is not None:
             rows = recent_days(rows, window_days, as_of)
         rows = _counted(rows, seen)
-        if merge_table:
-            merge_into(rows, merge_table, table.keys)
+        if isinstance(table, CatalogTable):
+            merge_into(table, rows, only_changed)
         else:
             # One row per id by construction, so the uniqueness check is not repeated.
             days = upsert_table(
@@ -87,11 +87,10 @@ def run(
                 rows_keep_day=trust_dates,
             )
     else:
-        table.ensure(spark)
         rows = _counted(rows, seen)
         (table.overwrite_days if mode == "full-refresh" else table.replace_all)(rows)
     return {
-        "table": merge_table or table.path,
+        "table": table.name or table.path,
         "mode": mode,
         "touched_days": days,
         **seen.get,

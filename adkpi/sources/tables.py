@@ -1,17 +1,17 @@
-"""Day-partitioned Parquet tables, found by path and optionally named in the catalog."""
+"""Day-partitioned tables: Parquet by path, or tables of a catalog with row-level merge."""
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adkpi.paths import Layout
 from adkpi.schemas import GOLD, SILVER
+from adkpi.sources.files import read_or_empty
 
 
 # Fixed value: folder name of the partition that holds rows without a day.
@@ -46,25 +46,7 @@ class DayTable:
         return cls(layout.gold(table), GOLD, "summary_date", keys, null_safe=True, name=name)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """All rows, columns in table order; a table nobody has written yet is empty."""
-        try:
-            rows = spark.read.schema(self.schema).parquet(self.path)
-            return rows.select(*self.schema.fieldNames())
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], self.schema)
-
-    def conform(self, df: DataFrame) -> DataFrame:
-        """The table's columns in order; wrong names or types are an error."""
-        wanted = {f.name: f.dataType for f in self.schema}
-        given = {f.name: f.dataType for f in df.schema}
-        if given != wanted:
-            odd = sorted(
-                n for n in wanted.keys() | given.keys() if wanted.get(n) != given.get(n)
-            )
-            raise ValueError(f"frame does not fit table {self.path}: columns {odd}")
-        return df.select(*self.schema.fieldNames())
+        return read_or_empty(spark, self.path, self.schema)
 
     def overwrite_days(self, df: DataFrame) -> None:
         """Replace exactly the days that occur in ``df``."""
@@ -93,7 +75,7 @@ class DayTable:
     def _laid_out(self, df: DataFrame) -> DataFrame:
         # Rebalance, not repartition: rows of a day come together, yet a day that holds a
         # large share of the table is still split into files of the advisory size.
-        return self.conform(df).hint("rebalance", F.col(self.day))
+        return conform(df, self.schema).hint("rebalance", F.col(self.day))
 
     def ensure(self, spark: SparkSession) -> None:
         """Create the namespace and the catalog entry if they are missing."""
@@ -103,13 +85,7 @@ class DayTable:
         # creates it and leaves one that is already there as it is.
         nothing = spark.createDataFrame([], self.schema)
         nothing.write.mode("append").partitionBy(self.day).parquet(self.path)
-        namespace = self.name.rpartition(".")[0]
-        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}")
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet "
-            f"PARTITIONED BY (`{self.day}`) LOCATION '{self.path}'"
-        )
+        _create(spark, self.name, self.schema, "parquet", self.day, f"LOCATION '{self.path}'")
         self.refresh(spark)
 
     def refresh(self, spark: SparkSession) -> None:
@@ -119,6 +95,62 @@ class DayTable:
             spark.catalog.refreshTable(self.name)
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """Scan by catalog name, for tables kept in any configured catalog."""
-    return spark.table(name)
+@dataclass(frozen=True)
+class CatalogTable:
+    """A table of a configured catalog, by its one- to three-part name.
+
+    Writing needs a table format with row-level operations; reading works for any.
+    ``provider`` names the format to create the table with, if it is missing.
+    """
+
+    name: str
+    schema: T.StructType
+    day: str
+    keys: tuple[str, ...]
+    null_safe: bool = False
+    provider: str | None = None
+
+    @classmethod
+    def silver(cls, name: str, provider: str | None = None):
+        return cls(name, SILVER, "event_date", ("event_id",), provider=provider)
+
+    @classmethod
+    def gold(cls, name: str, provider: str | None = None):
+        keys = ("summary_date", "campaign")
+        return cls(name, GOLD, "summary_date", keys, null_safe=True, provider=provider)
+
+    def ensure(self, spark: SparkSession) -> None:
+        if self.provider is not None and not spark.catalog.tableExists(self.name):
+            _create(spark, self.name, self.schema, self.provider, self.day)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.name)
+
+    def overwrite_days(self, df: DataFrame) -> None:
+        conform(df, self.schema).writeTo(self.name).overwritePartitions()
+
+    def replace_all(self, df: DataFrame) -> None:
+        conform(df, self.schema).writeTo(self.name).overwrite(F.lit(True))
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns in order; wrong names or types are an error."""
+    wanted = {f.name: f.dataType for f in schema}
+    given = {f.name: f.dataType for f in df.schema}
+    if given != wanted:
+        odd = sorted(n for n in wanted.keys() | given.keys() if wanted.get(n) != given.get(n))
+        raise ValueError(f"frame does not fit the table: columns {odd}")
+    return df.select(*schema.fieldNames())
+
+
+def _create(
+    spark: SparkSession, name: str, schema: T.StructType, provider: str, day: str, place: str = ""
+) -> None:
+    namespace = name.rpartition(".")[0]
+    if namespace:
+        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {provider} "
+        f"PARTITIONED BY (`{day}`) {place}"
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from adkpi.paths import Layout
 from adkpi.schemas import TOPICS, zone_schema
+from adkpi.sources.files import read_or_empty
 
 FORMATS = ("parquet", "json")
 
@@ -15,13 +15,7 @@ def read_zone(spark: SparkSession, path: str, event_type: str, fmt: str = "parqu
     """One zone with its fixed schema; a zone nobody has written yet is empty."""
     if fmt not in FORMATS:
         raise ValueError(f"zone format must be one of {FORMATS}, not {fmt!r}")
-    schema = zone_schema(event_type)
-    try:
-        return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, path, zone_schema(event_type), fmt)
 
 
 def read_zones(spark: SparkSession, layout: Layout, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -15,7 +15,7 @@ from adkpi.operators.upsert import (
     upsert_table,
 )
 from adkpi.paths import Layout
-from adkpi.sources.tables import DayTable, read_table
+from adkpi.sources.tables import CatalogTable, DayTable
 
 DAYS = [dt.date(2026, 5, d) for d in range(1, 6)]
 
@@ -162,14 +162,36 @@ def test_catalog_table_is_created_once_and_sees_writes(spark, tmp_path):
     layout = Layout.for_warehouse(str(tmp_path))
     table = DayTable.silver(layout, database="ads")
     upsert_table(table, silver_frame(spark, [("a", DAYS[0], 1.0)]))
-    assert [r.event_id for r in read_table(spark, "ads.processed_events").collect()] == ["a"]
+    assert [r.event_id for r in spark.table("ads.processed_events").collect()] == ["a"]
     upsert_table(table, silver_frame(spark, [("a", DAYS[1], 1.0), ("b", DAYS[1], 2.0)]))
-    seen = read_table(spark, "spark_catalog.ads.processed_events").collect()
+    seen = CatalogTable.silver("spark_catalog.ads.processed_events").read(spark).collect()
     assert sorted((r.event_id, r.event_date) for r in seen) == [("a", DAYS[1]), ("b", DAYS[1])]
 
 
-def test_row_level_merge_needs_a_catalog_that_supports_it(spark, tmp_path):
-    table = DayTable.silver(Layout.for_warehouse(str(tmp_path)), "merge_target", "ads")
+def test_row_level_merge_needs_a_catalog_that_supports_it(spark):
+    table = CatalogTable.silver("ads.merge_target", provider="parquet")
     table.ensure(spark)
-    with pytest.raises(PySparkException, match="MERGE"):
-        merge_into(silver_frame(spark, [("a", DAYS[0], 1.0)]), table.name, table.keys)
+    table.ensure(spark)
+    assert table.read(spark).schema.fieldNames()[-1] == "event_date"
+    assert [c.name for c in spark.catalog.listColumns(table.name) if c.isPartition] == ["event_date"]
+    source = silver_frame(spark, [("a", DAYS[0], 1.0)])
+    for write in (
+        lambda: merge_into(table, source),
+        lambda: merge_into(table, source, only_changed=True),
+        lambda: merge_into(table, source, replace_where=F.col("event_date") >= F.lit(DAYS[0])),
+    ):
+        with pytest.raises(PySparkException, match="does not support MERGE"):
+            write()
+    for write in (table.overwrite_days, table.replace_all):
+        with pytest.raises(PySparkException):
+            write(source)
+
+
+def test_gold_reads_silver_by_catalog_name(spark, tmp_path):
+    from adkpi.plans import gold as gold_job
+
+    layout = Layout.for_warehouse(str(tmp_path))
+    stored = DayTable.silver(layout, "by_name", "ads")
+    upsert_table(stored, silver_frame(spark, [("a", DAYS[0], 1.0), ("b", DAYS[0], 2.0)]))
+    gold_job.run(spark, layout, window_days=None, silver=CatalogTable.silver("ads.by_name"))
+    assert content(spark, DayTable.gold(layout)) == [(DAYS[0], 1, 2)]
