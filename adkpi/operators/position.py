@@ -51,7 +51,8 @@ def with_position(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     # As many rows as the sort had partitions, so one task and a broadcast are enough.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    starts = sizes.select("_part", start.alias("_start"))
     numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
     place = F.col("_slot") - F.shiftleft(F.col("_part"), _ROW_BITS)
     return numbered.select(*df.columns, (F.col("_start") + place).alias("position"))

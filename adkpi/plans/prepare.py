@@ -9,7 +9,13 @@ from pyspark.sql import SparkSession
 
 from adkpi.functions.scalars import DEFAULT_BASE_DATETIME, RELATIVE_TIMESTAMP_LIMIT, epoch_of
 from adkpi.operators.normalise import normalise, timestamp_range
-from adkpi.operators.position import BATCH_ROWS, INITIAL_ROWS, SAMPLE_ROWS, with_position, with_splits
+from adkpi.operators.position import (
+    BATCH_ROWS,
+    INITIAL_ROWS,
+    SAMPLE_ROWS,
+    with_position,
+    with_splits,
+)
 from adkpi.operators.profile import dataset_profile
 from adkpi.operators.sample import fixed_size_sample
 from adkpi.sources.delimited import ROW_ID, read_raw_tsv

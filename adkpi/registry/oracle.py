@@ -317,7 +317,7 @@ SELECT min(TRY_CAST(ts_text AS BIGINT)) AS min_ts, max(TRY_CAST(ts_text AS BIGIN
          coalesce(avg(CASE WHEN conversion <> 0 AND conversion_ts > ts
                            THEN conversion_ts - ts END) / 3600, 0.0) AS avg_delay_hours
   FROM records)
-SELECT total, clicks, conversions, round(total_cost, 4) AS total_cost, campaigns,
+SELECT total, clicks, conversions, round(total_cost, 2) AS total_cost, campaigns,
        min_ts, max_ts, round(avg_delay_hours, 4) AS avg_delay_hours,
        round(CASE WHEN total > 0 THEN clicks * CAST(100 AS DOUBLE) / total END, 4) AS ctr,
        round(CASE WHEN clicks > 0 THEN conversions * CAST(100 AS DOUBLE) / clicks END, 4)
