@@ -22,7 +22,7 @@ def _add_layout(parser: argparse.ArgumentParser) -> None:
     place = parser.add_mutually_exclusive_group(required=True)
     place.add_argument("--bucket")
     place.add_argument("--warehouse")
-    parser.add_argument("--prefix", default="ad-attribution")
+    parser.add_argument("--prefix", default="adkpi")
 
 
 def _add_window(parser: argparse.ArgumentParser, days: int) -> None:

@@ -16,7 +16,7 @@ class Layout:
         return cls(base=root, checkpoints=f"{root}/checkpoints")
 
     @classmethod
-    def for_bucket(cls, bucket: str, prefix: str = "ad-attribution") -> Layout:
+    def for_bucket(cls, bucket: str, prefix: str = "adkpi") -> Layout:
         root = f"s3a://{bucket}"
         return cls(base=f"{root}/{prefix.strip('/')}", checkpoints=f"{root}/checkpoints")
 
