@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adkpi.llm.shipping import ship
 from adkpi.llm.text import slices
 from adkpi.llm.tokens import default_vocabulary, encoder, with_end_id
 
@@ -193,6 +194,7 @@ def pack(
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit integers.
     ``vocabulary`` is the tokenizer file's path on the executors.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     numbers = "start length doc_tokens sequence_id offset".split()
     fields = ", ".join([f"`{id_col}` {kind}", *(f"{c} long" for c in numbers), "ids binary"])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from adkpi.llm import quality_rules, source_mix
+from adkpi.llm import packing, quality_model, quality_rules, source_mix, token_codec
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_source_mix": source_mix.op2_source_mix,
+    "op3_token_codec": token_codec.op3_token_codec,
+    "op7_quality_model": quality_model.op7_quality_model,
+    "op10_packing": packing.op10_packing,
 }
 
+# The others are tested against brute force: SQL has no tokenizer, coder or trees.
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_source_mix": source_mix.ORACLE,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -20,7 +21,7 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts have about ``limit`` bytes together; one row at least."""
     lengths = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64
+        pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64
     )
     ends = np.cumsum(lengths)
     start = 0
@@ -33,7 +34,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (one more for the end)."""
-    filled = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
     flat = pa.concat_arrays([filled])
     offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
     data = flat.buffers()[2]
