@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from adkpi.llm import packing, quality_model, quality_rules, source_mix, token_codec
+from adkpi.llm import (
+    line_dedup,
+    minhash_dedup,
+    packing,
+    pivot_search,
+    quality_model,
+    quality_rules,
+    source_mix,
+    token_codec,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_source_mix": source_mix.op2_source_mix,
     "op3_token_codec": token_codec.op3_token_codec,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op7_quality_model": quality_model.op7_quality_model,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_pivot_search": pivot_search.op9_pivot_search,
     "op10_packing": packing.op10_packing,
 }
 
