@@ -141,8 +141,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id; same columns."""
     found = near_duplicates(docs, **options)
     least = found.groupBy("id").agg(F.min("component").alias("component"))
-    gone = least.filter("component <> id").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = least.filter("component <> id").select(F.col("id").alias("__gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ FEATURES = (
     "repeat_next distinct_words repeat_trigrams lines_log open_lines repeat_lines line_words"
 ).split()
 CUTOFF = 0.3
+FIGURES, SCORE = "__figures", "__score"
 MAX_TRAINING_ROWS = 200_000
 _FOLDS = 5
 
@@ -97,22 +98,22 @@ def figures(texts: pa.Array) -> np.ndarray:
 
 
 def with_figures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and an array column ``figures``."""
+    """The columns ``keep`` and an array column ``FIGURES``."""
     ship(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    fields = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["figures array<float>"])
+    fields = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{FIGURES} array<float>"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                values = figures(part.column("_text"))
+            for part in slices(batch, "__text"):
+                values = figures(part.column("__text"))
                 step = np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)
                 column = pa.ListArray.from_arrays(pa.array(step), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(keep))), column], names=[*keep, "figures"]
+                    [*(part.column(i) for i in range(len(keep))), column], names=[*keep, FIGURES]
                 )
 
-    text = F.col(f"`{text_col}`").cast("string").alias("_text")
+    text = F.col(f"`{text_col}`").cast("string").alias("__text")
     return docs.select(*(F.col(f"`{c}`") for c in keep), text).mapInArrow(measure, fields)
 
 
@@ -127,21 +128,21 @@ def train(
     """Trees fitted on labelled rows of the training folds, ``max_rows`` at most."""
     usable = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = usable.select("doc_id", F.col("quality").cast("double").alias("_label"))
-    rows = known.join(measured.select("doc_id", "figures"), "doc_id")
+    rows = known.join(measured.select("doc_id", FIGURES), "doc_id")
     total = rows.count()
     if total > max_rows:
         # A slice of the hash range that holds a little less than max_rows.
         share = int(max_rows * 0.95 / total * (1 << 31))
         rows = rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 33) < share)
     # limit() only guards the bound where many rows share an id.
-    sample = rows.select("_label", "figures").limit(max_rows).toPandas()
-    values = np.array(sample["figures"].tolist(), np.float32).reshape(-1, len(FEATURES))
+    sample = rows.select("_label", FIGURES).limit(max_rows).toPandas()
+    values = np.array(sample[FIGURES].tolist(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort((*values.T, sample["_label"]))  # the same fit in any row order
     return fit(values[order], sample["_label"].to_numpy()[order], **options)
 
 
 def with_scores(measured: DataFrame, trees: Trees) -> DataFrame:
-    """Add ``score`` to frames with ``figures``."""
+    """Add ``SCORE`` to frames with ``FIGURES``."""
 
     @F.pandas_udf("double")
     def score(column):
@@ -150,7 +151,7 @@ def with_scores(measured: DataFrame, trees: Trees) -> DataFrame:
 
         return pd.Series(trees.scores(values))
 
-    return measured.withColumn("score", score("figures"))
+    return measured.withColumn(SCORE, score(FIGURES))
 
 
 def score_documents(
@@ -162,8 +163,8 @@ def score_documents(
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        "score",
-        (F.col("score") >= cutoff).cast("int").alias("predicted"),
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= cutoff).cast("int").alias("predicted"),
     )
 
 
@@ -175,7 +176,7 @@ def keep_good(
     trees = train(measured, labels, **options)
     # Scored from the text again, which costs less than carrying whole rows through a shuffle.
     figured = with_figures(docs, docs.columns)
-    kept = with_scores(figured, trees).filter(F.col("score") >= cutoff)
+    kept = with_scores(figured, trees).filter(F.col(SCORE) >= cutoff)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -75,16 +75,16 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
     Windows are compared by a 64-bit hash inside one document. Sorting happens only in
     documents that repeat a window at all.
     """
-    words, grams, ranked, at = (F.col(c) for c in ("_words", "_grams", "_ranked", "_at"))
+    words, grams, ranked, at = (F.col(c) for c in ("__words", "__grams", "__ranked", "__at"))
     starts = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
     window = F.transform(
         starts,
         lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))),
     )
-    docs = docs.withColumn("_grams", window)
+    docs = docs.withColumn("__grams", window)
     pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     docs = docs.withColumn(
-        "_ranked", F.when(F.size(F.array_distinct(grams)) < F.size(grams), pairs)
+        "__ranked", F.when(F.size(F.array_distinct(grams)) < F.size(grams), pairs)
     )
     same = F.filter(
         ranked,
@@ -93,7 +93,7 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
         )
         | F.coalesce(F.get(ranked, j + 1)["g"] == e["g"], F.lit(False)),
     )
-    docs = docs.withColumn("_at", F.sort_array(F.transform(same, lambda e: e["i"])))
+    docs = docs.withColumn("__at", F.sort_array(F.transform(same, lambda e: e["i"])))
     # least() skips the NULL after the last place.
     covered = F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.get(at, j + 1) - p))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -110,13 +110,13 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     df = docs.select(
         *rest,
-        F.regexp_extract_all(value, F.lit(WORD), F.lit(0)).alias("_words"),
-        F.split(value, "\n").alias("_lines"),
+        F.regexp_extract_all(value, F.lit(WORD), F.lit(0)).alias("__words"),
+        F.split(value, "\n").alias("__lines"),
     )
     df = _repeat_words(df)
-    lines, bad = F.col("_lines"), F.col("_bad")
+    lines, bad = F.col("__lines"), F.col("__bad")
     with_word = F.filter(lines, lambda x: F.length(_without(x, SPACES)) > 0)
-    df = df.withColumn("_worded", with_word)
+    df = df.withColumn("__worded", with_word)
 
     def fails(line):
         first, *others = line_verdicts(line).values()
@@ -124,12 +124,12 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             first = first | rule
         return first
 
-    df = df.withColumn("_bad", F.filter(F.col("_worded"), fails))
+    df = df.withColumn("__bad", F.filter(F.col("__worded"), fails))
     lost = F.aggregate(
         F.transform(bad, _count_words), F.lit(0).cast("long"), lambda s, x: s + x
     )
     df = df.withColumn("n_lost_words", lost)
-    n_words = F.size("_words").cast("long")
+    n_words = F.size("__words").cast("long")
     base_failed = (n_words < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > n_words * MAX_REPEAT_PERCENT
     )
@@ -143,7 +143,7 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         n_words.alias("n_words"),
         F.length(_without(value, SPACES)).cast("long").alias("word_chars"),
         _count_chars(value, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long").alias("n_dup_lines"),
+        (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.size(bad).cast("long").alias("n_bad_lines"),
         "n_lost_words",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from adkpi.llm import (
+    license_scan,
     line_dedup,
     minhash_dedup,
     packing,
@@ -18,14 +20,17 @@ QUERIES = {
     "op2_source_mix": source_mix.op2_source_mix,
     "op3_token_codec": token_codec.op3_token_codec,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality_model": quality_model.op7_quality_model,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_pivot_search": pivot_search.op9_pivot_search,
     "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 # The others are tested against brute force: SQL has no tokenizer, coder or trees.
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_source_mix": source_mix.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
 }

@@ -83,9 +83,9 @@ def copies_of(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
 def mixing_plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, rate, copies``."""
     sizes = staged(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
-    targets = source_targets(sizes, **options).withColumnRenamed("source", "_source")
+    targets = source_targets(sizes, **options).withColumnRenamed("source", "__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     return joined.withColumn("rate", rate).withColumn(
         "copies", copies_of(F.col("rate"), F.col("doc_id"), seed)
     )
@@ -96,10 +96,10 @@ def mix_sources(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     sizes = docs.select("source", count_words(F.col("text")).alias("size"))
     targets = source_targets(sizes, **options)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets.select(F.col("source").alias("_source"), rate.alias("_rate"))
-    taken = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    copies = copies_of(F.col("_rate"), F.col("doc_id"), seed).cast("int")
-    taken = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    rates = targets.select(F.col("source").alias("__source"), rate.alias("__rate"))
+    taken = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
+    copies = copies_of(F.col("__rate"), F.col("doc_id"), seed).cast("int")
+    taken = taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
