@@ -12,6 +12,7 @@ from adkpi.llm import (
     quality_model,
     quality_rules,
     source_mix,
+    suffix_dedup,
     token_codec,
 )
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_source_mix": source_mix.op2_source_mix,
     "op3_token_codec": token_codec.op3_token_codec,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality_model": quality_model.op7_quality_model,
