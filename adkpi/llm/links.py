@@ -31,32 +31,25 @@ LEVELS = 5
 
 
 class _Linker:
-    def __init__(self, sets: DataFrame, percent: int, matches: int | None):
-        self.sets, self.percent, self.matches = sets, percent, matches
+    def __init__(self, percent: int):
+        self.sets, self.percent = None, percent
         self.edges: list[DataFrame] = []
 
     def compare(self, pairs: DataFrame, screened: bool) -> DataFrame:
-        """``a, b, na, nb, both, linked``; with ``screened`` signatures must agree first."""
-        extra = ["sig"] if self.matches is not None and screened else []
+        """``a, b, na, nb, both, linked``; ``screened`` leaves out pairs of unlike sizes."""
         left, right = (
             self.sets.select(
                 F.col("id").alias(x),
                 F.col("n").alias(f"n{x}"),
                 F.col("grams").alias(f"g{x}"),
-                *(F.col(c).alias(f"{c}{x}") for c in extra),
             )
             for x in "ab"
         )
         # The members first: leaders (a) repeat, so their sets are joined on without a copy.
         joined = pairs.join(right, "b").join(left, "a")
         if screened:
-            joined = joined.filter(
-                (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-            )
-            if extra:
-                same = F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int"))
-                agree = F.aggregate(same, F.lit(0), lambda s, x: s + x)
-                joined = joined.filter(agree >= self.matches)
+            unlike = F.least("na", "nb") * 100 < F.greatest("na", "nb") * self.percent
+            joined = joined.filter(~unlike)
         both = F.size(F.array_intersect("ga", "gb")).cast("long")
         found = joined.select("a", "b", "na", "nb", both.alias("both"))
         linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent
@@ -93,17 +86,15 @@ def linked_pairs(
     postings: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
-    matches: int | None = None,
     unique: bool = False,
 ) -> DataFrame:
     """Edges ``a, b`` for sets with ``100 * |A & B| >= percent * |A | B|`` that share a key.
 
     ``postings`` has ``key, id``. ``sets_of(ids)`` gives ``id, n, grams`` (distinct 64-bit
-    elements, sorted) for the ids asked for, with ``sig`` if ``matches`` is given: then pairs
-    of short lists must agree in that many places of their signatures before they are compared.
+    elements) for the ids asked for.
     ``unique`` tells that no posting is there twice, which saves a shuffle.
     """
-    linker = _Linker(None, percent, matches)
+    linker = _Linker(percent)
     known = None
     level_postings = postings if unique else postings.distinct()
     for level in range(LEVELS + 1):

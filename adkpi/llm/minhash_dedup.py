@@ -5,9 +5,14 @@ one class from the start. Every class is posted under its signature's coordinate
 Sets of the wanted similarity agree in at least ``MATCHES`` of ``COORDINATES`` places (a pair
 right at the threshold falls short with a chance of about 1 in 10,000), and then in one of
 the first ``COORDINATES - MATCHES + 1``: only this prefix is merged, the other coordinates are
-skipped and read from the signatures of pairs that met. Pairs with enough collisions are confirmed
-on their full sets. Lists longer than a few members go by leaders and bounds (``links``), so a
-group of very many near copies never becomes all its pairs.
+skipped and read from the signatures of those that met.
+
+A posting list of a few members gives its pairs. A longer one is compared with one leader only,
+its most central member. Two members that agree in enough places with the leader stay together
+as candidates. Any other pair agrees inside the leader's values in fewer than ``MATCHES`` places,
+so it also agrees in one outside them, and meets again when the first such values are
+posted under the leader. Candidates are confirmed on their full sets, where ``links`` again goes
+by leaders, so a group of very many near copies never becomes all its pairs.
 
 Words are runs of bytes that are no ASCII white space, A-Z lower-cased; shingles are compared
 by 64-bit hashes.
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.llm.components import components
-from adkpi.llm.links import linked_pairs
+from adkpi.llm.links import SHORT_LIST, linked_pairs
 from adkpi.llm.shipping import ship
 from adkpi.llm.text import buffers, lower_ascii, mix, range_hashes, shingles, slices, words
 from adkpi.session import staged
@@ -37,6 +42,7 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 MATCHES = 44
+_LEVELS = 4
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -103,6 +109,76 @@ def _scan(docs: DataFrame, with_grams: bool, size: int) -> DataFrame:
     return docs.mapInArrow(measure, fields)
 
 
+def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``a, b, siga, sigb, agree`` of pairs: the number of places with equal values."""
+    left, right = (
+        signed.select(F.col("id").alias(x), F.col("sig").alias(f"sig{x}"), F.col("n").alias(f"n{x}"))
+        for x in "ab"
+    )
+    met = pairs.join(right, "b").join(left, "a")
+    same = F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int"))
+    return met.withColumn("agree", F.aggregate(same, F.lit(0), lambda s, x: s + x))
+
+
+def candidate_lists(signed: DataFrame, matches: int, percent: int) -> DataFrame:
+    """``key, id``: lists such that every pair agreeing in ``matches`` places shares one.
+
+    ``signed`` has ``id, n, sig``, one row per id.
+    """
+    prefix = COORDINATES - matches + 1
+    places = F.slice("sig", 1, prefix)
+    postings = signed.select("id", F.posexplode(places).alias("place", "value")).select(
+        F.xxhash64("place", "value").alias("key"), "id"
+    )
+    out = None
+    for level in range(_LEVELS + 1):
+        counts = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        lists = staged(postings.join(counts, "key"))
+        short = lists if level == _LEVELS else lists.filter(F.col("n") <= SHORT_LIST)
+        left = short.select("key", F.col("id").alias("a"))
+        right = short.select("key", F.col("id").alias("b"))
+        pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+        enough = _agreement(pairs, signed).filter(
+            (F.col("agree") >= matches)
+            & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        )
+        ends = F.explode(F.array("a", "b")).alias("id")
+        found = enough.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), ends)
+        out = found if out is None else out.unionAll(found)
+        long = lists.filter(F.col("n") > SHORT_LIST)
+        if level == _LEVELS or long.isEmpty():
+            break
+        central = long.groupBy("id").agg(F.sum("n").alias("_d"))
+        leaders = (
+            long.join(central, "id")
+            .groupBy("key")
+            .agg(F.max(F.struct("_d", (-F.col("id")).alias("m")))["m"].alias("m"))
+            .select("key", (-F.col("m")).alias("a"))
+        )
+        stars = long.join(leaders, "key").select("a", F.col("id").alias("b")).distinct()
+        met = _agreement(stars, signed)
+        outside = F.filter(
+            F.transform(
+                F.arrays_zip("siga", "sigb"),
+                lambda x, i: F.when(
+                    x["siga"] != x["sigb"], F.struct(i.alias("place"), x["sigb"].alias("value"))
+                ),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        met = staged(
+            met.select("a", "b", "agree", F.slice(outside, 1, prefix).alias("outside"))
+        )
+        # The leader agrees with itself, so it is in its own list.
+        close = met.filter(F.col("agree") >= matches)
+        out = out.unionAll(close.select(F.xxhash64(F.lit("star"), "a").alias("key"), F.col("b").alias("id")))
+        postings = met.select("a", F.col("b").alias("id"), F.explode("outside").alias("o")).select(
+            F.xxhash64("a", "o.place", "o.value").alias("key"), "id"
+        )
+        postings = postings.distinct()
+    return out.distinct()
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE
 ) -> DataFrame:
@@ -116,16 +192,13 @@ def near_duplicates(
         .agg(F.min(F.struct("id", "sig")).alias("_least"))
         .select(*kind, "_least.id", "_least.sig")
     )
-    prefix = F.slice("sig", 1, COORDINATES - matches + 1)
-    postings = classes.select("id", F.posexplode(prefix).alias("place", "value")).select(
-        F.xxhash64("place", "value").alias("key"), "id"
-    )
+    postings = staged(candidate_lists(classes.select("id", "n", "sig"), matches, percent))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = own.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return _scan(texts, True, size).select("id", "n", "sig", "grams")
+        return _scan(texts, True, size).select("id", "n", "grams")
 
-    known = components(linked_pairs(postings, sets_of, percent, matches, unique=True))
+    known = components(linked_pairs(postings, sets_of, percent))
     least = classes.select(*kind, F.col("id").alias("_class"))
     named = signed.select("id", *kind).join(least, kind)
     known = known.withColumnRenamed("id", "_class")
