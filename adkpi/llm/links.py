@@ -17,43 +17,109 @@ is enough. Pairs already in one component are never needed. Every level is compl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.llm.components import components
+from adkpi.llm.shipping import ship
+from adkpi.llm.text import slices
 from adkpi.session import staged
 
+#: Sorted distinct elements of each text, end to end, and their number per text.
+Elements = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
 SHORT_LIST = 8
 LEVELS = 5
 
 
+def _rows(counts: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(counts)), counts)
+
+
 class _Linker:
-    def __init__(self, percent: int):
-        self.sets, self.percent = None, percent
+    def __init__(self, elements: Elements, percent: int):
+        self.elements, self.percent = elements, percent
+        self.sets: DataFrame | None = None
         self.edges: list[DataFrame] = []
 
     def compare(self, pairs: DataFrame, screened: bool) -> DataFrame:
-        """``a, b, na, nb, both, linked``; ``screened`` leaves out pairs of unlike sizes."""
+        """``a, b, na, nb, both, linked``; ``screened`` leaves out pairs of unlike sizes.
+
+        Texts travel instead of sets, which are several times their size.
+        """
+        elements, percent = self.elements, self.percent
         left, right = (
             self.sets.select(
-                F.col("id").alias(x),
-                F.col("n").alias(f"n{x}"),
-                F.col("grams").alias(f"g{x}"),
+                F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"t{x}")
             )
             for x in "ab"
         )
-        # The members first: leaders (a) repeat, so their sets are joined on without a copy.
+        # The members first: leaders (a) repeat, so their texts are joined on without a copy.
         joined = pairs.join(right, "b").join(left, "a")
         if screened:
-            unlike = F.least("na", "nb") * 100 < F.greatest("na", "nb") * self.percent
+            unlike = F.least("na", "nb") * 100 < F.greatest("na", "nb") * percent
             joined = joined.filter(~unlike)
-        both = F.size(F.array_intersect("ga", "gb")).cast("long")
-        found = joined.select("a", "b", "na", "nb", both.alias("both"))
-        linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent
-        return staged(found.withColumn("linked", linked))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "tb"):
+                    (one, n1), (two, n2) = elements(part.column("ta")), elements(part.column("tb"))
+                    grams, owner = np.concatenate((one, two)), np.concatenate((_rows(n1), _rows(n2)))
+                    order = np.lexsort((grams, owner))
+                    grams, owner = grams[order], owner[order]
+                    twice = (grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])
+                    both = np.bincount(owner[1:][twice], minlength=len(n1))
+                    linked = both * 100 >= (n1 + n2 - both) * percent
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in ("a", "b", "na", "nb")), pa.array(both), pa.array(linked)],
+                        names=["a", "b", "na", "nb", "both", "linked"],
+                    )
+
+        fields = "a long, b long, na long, nb long, both long, linked boolean"
+        return staged(joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(count, fields))
+
+    def outside(self, groups: DataFrame) -> DataFrame:
+        """``key, id``: the first elements of members (b) outside their leader (a).
+
+        For a link to an element set of ``n``, all but ``(100 - percent) * n / 100`` of a
+        member's elements are shared, so one more than that many outside ones are enough.
+        """
+        elements, percent = self.elements, self.percent
+        member = self.sets.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        leader = self.sets.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+        joined = groups.select("a", "b").join(member, "b").join(leader, "a")
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "tb"):
+                    (one, n1), (two, n2) = elements(part.column("ta")), elements(part.column("tb"))
+                    grams, owner = np.concatenate((one, two)), np.concatenate((_rows(n1), _rows(n2)))
+                    mine = np.arange(len(grams)) >= len(one)
+                    order = np.lexsort((mine, grams, owner))
+                    grams, owner, mine = grams[order], owner[order], mine[order]
+                    alone = mine.copy()
+                    alone[1:] &= (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+                    grams, owner = grams[alone], owner[alone]
+                    counts = np.bincount(owner, minlength=len(n2))
+                    place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+                    wanted = place <= n2[owner] * (100 - percent) // 100
+                    rows = pa.array(owner[wanted])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("a").take(rows),
+                            part.column("b").take(rows),
+                            pa.array(grams[wanted].view(np.int64)),
+                        ],
+                        names=["a", "id", "gram"],
+                    )
+
+        posted = joined.select("a", "b", "ta", "tb").mapInArrow(post, "a long, id long, gram long")
+        return posted.select(F.xxhash64("a", "gram").alias("key"), "id").distinct()
 
     def keep(self, compared: DataFrame) -> None:
         self.edges.append(compared.filter("linked").select("a", "b"))
@@ -84,17 +150,19 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
 
 def linked_pairs(
     postings: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    texts_of: Callable[[DataFrame], DataFrame],
+    elements: Elements,
     percent: int,
     unique: bool = False,
 ) -> DataFrame:
     """Edges ``a, b`` for sets with ``100 * |A & B| >= percent * |A | B|`` that share a key.
 
-    ``postings`` has ``key, id``. ``sets_of(ids)`` gives ``id, n, grams`` (distinct 64-bit
-    elements) for the ids asked for.
+    ``postings`` has ``key, id``. ``texts_of(ids)`` gives ``id, n, text`` for the ids asked for,
+    where ``n`` is the size of the text's set; ``elements`` makes sets from texts.
     ``unique`` tells that no posting is there twice, which saves a shuffle.
     """
-    linker = _Linker(percent)
+    ship(postings.sparkSession)
+    linker = _Linker(elements, percent)
     known = None
     level_postings = postings if unique else postings.distinct()
     for level in range(LEVELS + 1):
@@ -102,7 +170,7 @@ def linked_pairs(
         if lists.isEmpty():
             break
         if linker.sets is None:
-            linker.sets = staged(sets_of(lists.select("id").distinct()))
+            linker.sets = staged(texts_of(lists.select("id").distinct()))
         short = lists if level == LEVELS else lists.filter(F.col("n") <= SHORT_LIST)
         linker.keep(linker.compare(_pairs_within(short), screened=True))
         if level == LEVELS:
@@ -118,6 +186,9 @@ def linked_pairs(
         led = staged(long.join(leaders, "key").select("key", "a", F.col("id").alias("b")))
         if led.isEmpty():
             break
+        # Only long lists matter from here on.
+        inside = led.select(F.col("b").alias("id")).distinct()
+        linker.sets = staged(linker.sets.join(inside, "id", "left_semi"))
         stars = linker.compare(led.filter("a <> b").select("a", "b").distinct(), screened=False)
         linker.keep(stars)
         known = staged(components(linker.all_edges()))
@@ -159,18 +230,7 @@ def linked_pairs(
             .distinct()
         )
         linker.keep(linker.compare(rest, screened=True))
-        # Elements outside the leader, a prefix of them in the order of their hashes.
-        grams = linker.sets.select(F.col("id").alias("b"), "grams")
-        leader = linker.sets.select(F.col("id").alias("a"), F.col("grams").alias("_p"))
-        outside = F.array_except("grams", "_p")
-        needed = (F.col("nb") * (100 - percent) / 100).cast("int") + 1
-        parted = groups.join(grams, "b").join(leader, "a").withColumn("_out", outside)
-        level_postings = parted.select(
-            F.col("b").alias("id"),
-            "a",
-            F.explode(F.slice(F.sort_array("_out"), 1, F.greatest(needed, F.lit(1)))).alias("_g"),
-        ).select(F.xxhash64("a", "_g").alias("key"), "id")
-        level_postings = level_postings.distinct()
+        level_postings = staged(linker.outside(groups))
     if not linker.edges:
         return postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return linker.all_edges()

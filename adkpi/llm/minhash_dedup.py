@@ -77,12 +77,9 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
 
 
-def _scan(docs: DataFrame, with_grams: bool, size: int) -> DataFrame:
-    """Per row of ``id, text``: ``id, n, f1, f2, sig`` of its set, and ``grams`` if asked for."""
+def _scan(docs: DataFrame, size: int) -> DataFrame:
+    """Per row of ``id, text`` with a word: ``id, n, f1, f2, sig`` of its set."""
     ship(docs.sparkSession)
-    fields = "id long, n long, f1 long, f2 long, sig array<int>"
-    if with_grams:
-        fields += ", grams array<long>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,22 +88,20 @@ def _scan(docs: DataFrame, with_grams: bool, size: int) -> DataFrame:
                 full = pa.array(np.flatnonzero(counts > 0))
                 sig = signatures(grams, counts)
                 step = np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES
-                columns = [
-                    part.column("id").take(full),
-                    pa.array(counts[counts > 0]),
-                    pa.array(_sums(mix(grams), counts).view(np.int64)),
-                    pa.array(_sums(mix(grams ^ _SEEDS[0]), counts).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(step), pa.array(sig.view(np.int32).ravel())),
-                ]
-                names = ["id", "n", "f1", "f2", "sig"]
-                if with_grams:
-                    ends = np.concatenate(([0], np.cumsum(counts[counts > 0]))).astype(np.int32)
-                    values = pa.array(grams.view(np.int64))
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), values))
-                    names.append("grams")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.mapInArrow(measure, fields)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(full),
+                        pa.array(counts[counts > 0]),
+                        pa.array(_sums(mix(grams), counts).view(np.int64)),
+                        pa.array(_sums(mix(grams ^ _SEEDS[0]), counts).view(np.int64)),
+                        pa.ListArray.from_arrays(
+                            pa.array(step), pa.array(sig.view(np.int32).ravel())
+                        ),
+                    ],
+                    names=["id", "n", "f1", "f2", "sig"],
+                )
+
+    return docs.mapInArrow(measure, "id long, n long, f1 long, f2 long, sig array<int>")
 
 
 def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -185,7 +180,7 @@ def near_duplicates(
     """``id, n_shingles, component`` for rows with an id and a word; component is the least id."""
     own = docs.filter(F.col("doc_id").isNotNull())
     own = own.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    signed = staged(_scan(own, False, size))
+    signed = staged(_scan(own, size))
     kind = ["n", "f1", "f2"]
     classes = staged(
         signed.groupBy(*kind)
@@ -194,11 +189,15 @@ def near_duplicates(
     )
     postings = staged(candidate_lists(classes.select("id", "n", "sig"), matches, percent))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        texts = own.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return _scan(texts, True, size).select("id", "n", "grams")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        sizes = classes.select("id", "n").join(ids, "id", "left_semi")
+        # Rows that repeat an id may hold another text: any of them stands for the id.
+        return own.join(sizes, "id").dropDuplicates(["id"]).select("id", "n", "text")
 
-    known = components(linked_pairs(postings, sets_of, percent))
+    def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return distinct_grams(texts, size)
+
+    known = components(linked_pairs(postings, texts_of, elements, percent))
     least = classes.select(*kind, F.col("id").alias("_class"))
     named = signed.select("id", *kind).join(least, kind)
     known = known.withColumnRenamed("id", "_class")
