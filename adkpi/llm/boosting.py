@@ -40,7 +40,7 @@ def fit(
     depth: int = 4,
     rate: float = 0.15,
     bins: int = 64,
-    min_weight: float = 5.0,
+    min_weight: float = 1.0,
     ridge: float = 1.0,
 ) -> Trees:
     """Boosted trees for labels 0 and 1. Without rows, or with one class, a constant score."""

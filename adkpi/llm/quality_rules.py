@@ -6,8 +6,8 @@ functions inside its own row, so a hot source or a huge group of copies costs no
 A line without a word is neither kept nor lost (it stays in the text, it counts nothing). A
 line with words fails when
 
-* ``punctuation``: it does not end in closing punctuation, or it carries more than
-  ``MARKS_PER_WORD`` punctuation marks or more than ``SYMBOLS_PER_WORD`` symbols per word;
+* ``punctuation``: it does not end in closing punctuation, or it carries, besides one closing
+  mark, more than ``MARKS_PER_WORD`` punctuation marks or more than ``SYMBOLS_PER_WORD`` symbols per word;
 * ``navigation``: it is a list of links: separators stand between at least a quarter of its words;
 * ``boilerplate``: it holds one of the fixed phrases and at most ``BOILERPLATE_WORDS`` words.
 
@@ -61,7 +61,7 @@ def line_verdicts(line: Column) -> dict[str, Column]:
     words = _count_words(line)
     return {
         "punctuation": ~line.rlike(CLOSED)
-        | (_count_chars(line, MARKS) > MARKS_PER_WORD * words)
+        | (_count_chars(line, MARKS) - 1 > MARKS_PER_WORD * words)
         | (_count_chars(line, SYMBOLS) > SYMBOLS_PER_WORD * words),
         "navigation": (_count_chars(line, SEPARATORS) * 4 >= words)
         & (_count_chars(line, SEPARATORS) >= 2),
@@ -193,7 +193,7 @@ judged AS (
     {_sql_count("line", SEPARATORS)} AS separators
   FROM worded),
 failed AS (
-  SELECT *, NOT regexp_matches(line, '{_CLOSED_SQL}') OR marks > {MARKS_PER_WORD}::DOUBLE * words
+  SELECT *, NOT regexp_matches(line, '{_CLOSED_SQL}') OR marks - 1 > {MARKS_PER_WORD}::DOUBLE * words
     OR symbols > {SYMBOLS_PER_WORD}::DOUBLE * words OR (separators * 4 >= words AND separators >= 2)
     OR (regexp_matches(line, '{BOILERPLATE}') AND words <= {BOILERPLATE_WORDS}) AS bad
   FROM judged),
