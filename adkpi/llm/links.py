@@ -34,6 +34,8 @@ from adkpi.session import staged
 Elements = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 SHORT_LIST = 8
+# An element takes many times the bytes of its place in the text.
+_PART_BYTES = 1 << 19
 LEVELS = 5
 
 
@@ -67,7 +69,7 @@ class _Linker:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "tb"):
+                for part in slices(batch, "ta", "tb", limit=_PART_BYTES):
                     (one, n1), (two, n2) = elements(part.column("ta")), elements(part.column("tb"))
                     grams, owner = np.concatenate((one, two)), np.concatenate((_rows(n1), _rows(n2)))
                     order = np.lexsort((grams, owner))
@@ -96,7 +98,7 @@ class _Linker:
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "tb"):
+                for part in slices(batch, "ta", "tb", limit=_PART_BYTES):
                     (one, n1), (two, n2) = elements(part.column("ta")), elements(part.column("tb"))
                     grams, owner = np.concatenate((one, two)), np.concatenate((_rows(n1), _rows(n2)))
                     mine = np.arange(len(grams)) >= len(one)

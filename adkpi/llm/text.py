@@ -18,10 +18,12 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(
+    batch: pa.RecordBatch, *columns: str, limit: int = 4 << 20
+) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts have about ``limit`` bytes together; one row at least."""
-    lengths = np.asarray(
-        pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64
+    lengths = sum(
+        np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in columns
     )
     ends = np.cumsum(lengths)
     start = 0
