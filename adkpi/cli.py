@@ -8,6 +8,7 @@ import json
 
 from adkpi.functions.scalars import DEFAULT_BASE_DATETIME
 from adkpi.operators.kpis import LATE_THRESHOLD_SEC
+from adkpi.operators.position import BATCH_ROWS, INITIAL_ROWS, SAMPLE_ROWS
 from adkpi.paths import Layout
 from adkpi.plans import explode, gold, prepare, silver
 from adkpi.schemas import TOPICS
@@ -25,9 +26,17 @@ def _add_layout(parser: argparse.ArgumentParser) -> None:
     parser.add_argument("--prefix", default="adkpi")
 
 
-def _add_window(parser: argparse.ArgumentParser, days: int) -> None:
+def _or_all(text: str) -> int | None:
+    return None if text == "all" else int(text)
+
+
+def _window(text: str) -> int | None | str:
+    return text if text == "default" else _or_all(text)
+
+
+def _add_window(parser: argparse.ArgumentParser, days: int | str) -> None:
     parser.add_argument("--database", default=None, help="also name the table in the catalog")
-    parser.add_argument("--merge-window-days", type=int, default=days)
+    parser.add_argument("--merge-window-days", type=_window, default=days, help="or 'all'")
     parser.add_argument("--as-of", type=dt.date.fromisoformat, default=None)
     parser.add_argument("--only-changed", action="store_true")
     parser.add_argument("--merge-table", default=None, help="catalog table with row-level merge")
@@ -42,7 +51,10 @@ def build_parser() -> argparse.ArgumentParser:
     job = jobs.add_parser("prepare", help="raw dump to sampled, normalised, split CSV")
     job.add_argument("--input", required=True)
     job.add_argument("--output", default="./data")
-    job.add_argument("--sample", type=int, default=prepare.DEFAULT_SAMPLE)
+    job.add_argument("--sample", type=_or_all, default=prepare.DEFAULT_SAMPLE, help="or 'all'")
+    job.add_argument("--initial-rows", type=int, default=INITIAL_ROWS)
+    job.add_argument("--batch-rows", type=int, nargs="*", default=list(BATCH_ROWS))
+    job.add_argument("--quick-rows", type=int, default=SAMPLE_ROWS)
     job.add_argument("--keep-cats", action="store_true")
     job.add_argument("--seed", type=int, default=42)
     job.add_argument("--base-datetime", default=DEFAULT_BASE_DATETIME)
@@ -52,7 +64,7 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--csv", required=True)
     job.add_argument("--output", default="./data/events")
     job.add_argument("--max-events", type=int, default=None)
-    job.add_argument("--source-label", default=None)
+    job.add_argument("--source-label", default=None, help="default: digest of the path")
     job.add_argument("--bootstrap-servers", default=None)
 
     job = jobs.add_parser("bronze", help="message stream to raw zone")
@@ -63,6 +75,8 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--topic", default=None)
     job.add_argument("--starting-offsets", default="earliest")
     job.add_argument("--output-format", choices=FORMATS, default="parquet")
+    job.add_argument("--max-offsets", type=int, default=None, help="per batch, from a broker")
+    job.add_argument("--max-files", type=int, default=None, help="per batch, from files")
     job.add_argument("--trigger", default=None, help="'available' or a time such as '1 minute'")
     _add_layout(job)
 
@@ -72,7 +86,7 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--mode", choices=silver.MODES, default="merge")
     job.add_argument("--since", type=dt.date.fromisoformat, default=None)
     job.add_argument("--trust-dates", action="store_true")
-    _add_window(job, silver.MERGE_WINDOW_DAYS)
+    _add_window(job, "default")
     _add_layout(job)
 
     job = jobs.add_parser("gold", help="silver to campaign x day KPIs")
@@ -83,6 +97,8 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--skip-quality-check", action="store_true")
     job.add_argument("--exact-percentiles", action="store_true")
     job.add_argument("--delete-missing", action="store_true")
+    job.add_argument("--days", type=dt.date.fromisoformat, nargs="+", default=None)
+    job.add_argument("--check-stored", action="store_true")
     _add_window(job, gold.MERGE_WINDOW_DAYS)
     _add_layout(job)
     return parser
@@ -109,6 +125,9 @@ def _prepare(spark, args) -> dict:
         seed=args.seed,
         base_datetime=args.base_datetime,
         preserve_relative=args.preserve_relative_timestamps,
+        initial=args.initial_rows,
+        batches=args.batch_rows,
+        quick=args.quick_rows,
     )
 
 
@@ -120,10 +139,17 @@ def _explode(spark, args) -> dict:
 
 def _bronze(spark, args) -> dict:
     if args.messages:
-        stream = file_stream(spark, args.messages, args.event_type, args.topic)
+        stream = file_stream(
+            spark, args.messages, args.event_type, args.topic, args.max_files
+        )
     else:
         stream = topic_stream(
-            spark, args.event_type, args.bootstrap_servers, args.topic, args.starting_offsets
+            spark,
+            args.event_type,
+            args.bootstrap_servers,
+            args.topic,
+            args.starting_offsets,
+            args.max_offsets,
         )
     layout = _layout(args)
     query = bronze.start(stream, args.event_type, layout, args.output_format, args.trigger)
@@ -163,6 +189,8 @@ def _gold(spark, args) -> dict:
         exact_percentiles=args.exact_percentiles,
         only_changed=args.only_changed,
         delete_missing=args.delete_missing,
+        days=args.days,
+        check_stored=args.check_stored,
         silver=(
             CatalogTable.silver(args.silver_table)
             if args.silver_table

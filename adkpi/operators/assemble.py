@@ -107,22 +107,15 @@ def assemble_touched(
     zones: dict[str, DataFrame],
     ids: DataFrame,
     updated_at: Column | None = None,
-    broadcast_limit: int = 500_000,
 ) -> DataFrame:
     """Silver rows of the given distinct ids only, equal to those of a full rebuild.
 
-    ``ids`` should be a staged frame, as it is counted and then read again. Up to
-    ``broadcast_limit`` ids are broadcast and thin out the zones before any shuffle.
-    More ids than that are matched after the ranking, where every id has one row left,
-    so an id with very many copies never lands in one join task.
+    The zones are thinned out before anything is ranked, by one plan at every size. Staged
+    ``ids`` carry their size, so Spark itself broadcasts them as long as they are small; beyond
+    that the join and the ranking share their partitioning by id.
     """
-    if ids.count() <= broadcast_limit:
-        narrowed = {
-            kind: zone.join(F.broadcast(ids), "event_id", "left_semi")
-            for kind, zone in zones.items()
-        }
-        return _assemble_zones(narrowed, updated_at)
-    return _assemble_zones(zones, updated_at).join(ids, "event_id", "left_semi")
+    narrowed = {kind: z.join(ids, "event_id", "left_semi") for kind, z in zones.items()}
+    return _assemble_zones(narrowed, updated_at)
 
 
 def _assemble_zones(zones: dict[str, DataFrame], updated_at: Column | None) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adkpi.functions.scalars import clamped_delay, iso_time, seeded_delay
+from adkpi.functions.scalars import clamped_delay, iso_time, seeded_delay, text_or_blank
 from adkpi.operators.position import with_position
 from adkpi.schemas import event_schema, topic_for
 
@@ -25,7 +25,7 @@ def with_event_ids(
     With a label, ids of different sources never meet. Without one every source starts
     at ``evt_00000000`` again, so a later source overwrites an earlier one downstream.
     """
-    prefix = "evt_" if source_label is None else f"evt_{source_label.replace('%', '%%')}_"
+    prefix = "evt_" if not source_label else f"evt_{source_label.replace('%', '%%')}_"
     return with_position(records, order).withColumn(
         "event_id", F.format_string(f"{prefix}%08d", F.col("position"))
     )
@@ -44,7 +44,7 @@ def split_unusable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     needed = ("timestamp", "click", "conversion", "_campaign", "_cost")
     usable = reduce(Column.__and__, [F.col(name).isNotNull() for name in needed])
     good = typed.filter(usable).withColumns(
-        {"campaign": F.col("_campaign"), "cost": F.col("_cost")}
+        {"campaign": F.col("_campaign"), "cost": F.col("_cost"), "uid": text_or_blank("uid")}
     )
     return good.drop("_campaign", "_cost"), typed.filter(~usable).drop("_campaign", "_cost")
 

@@ -17,9 +17,6 @@ INITIAL_ROWS = 800_000
 BATCH_ROWS = (20_000, 30_000, 40_000, 50_000, 60_000)
 SAMPLE_ROWS = 1000
 
-# A top-k this small fits one task beside its rivals from every partition.
-_TOP_ROWS = 100_000
-
 
 def sorted_by_time(df: DataFrame, *ties: str | Column) -> DataFrame:
     return df.orderBy("timestamp", *ties)
@@ -28,13 +25,12 @@ def sorted_by_time(df: DataFrame, *ties: str | Column) -> DataFrame:
 def first_by_time(df: DataFrame, count: int | None, *ties: str | Column) -> DataFrame:
     """The first ``count`` rows; None means all, 0 means none.
 
-    A small count is a top-k that ends in one task. A large one is cut by position instead.
+    Cut by position at every count, so no task holds more than its range of the order.
     """
-    if count is not None and count > _TOP_ROWS:
-        positioned = with_position(df, ["timestamp", *ties])
-        return positioned.filter(F.col("position") < count).drop("position")
-    ordered = sorted_by_time(df, *ties)
-    return ordered if count is None else ordered.limit(count)
+    if count is None:
+        return sorted_by_time(df, *ties)
+    positioned = with_position(df, ["timestamp", *ties])
+    return positioned.filter(F.col("position") < count).orderBy("position").drop("position")
 
 
 def with_position(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -64,10 +60,10 @@ def with_splits(
     batches: Sequence[int] = BATCH_ROWS,
     sample: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """One row per output a position belongs to: ``initial`` or a batch, and ``sample``.
+    """One row per output a position belongs to: ``initial``, a batch or ``rest``, and ``sample``.
 
-    The sample repeats the first rows of the initial load; positions past the last batch
-    belong to nothing.
+    The sample repeats the first rows of the initial load. Positions past the last batch are
+    the ``rest``, so every row comes back.
     """
     position = F.col("position")
     start = initial
@@ -77,6 +73,6 @@ def with_splits(
             (position >= start) & (position < start + rows), f"batch_{number:02d}"
         )
         start += rows
+    by_range = by_range.otherwise("rest")
     outputs = F.array_compact(F.array(by_range, F.when(position < sample, F.lit("sample"))))
-    used = positioned.filter(position < max(start, sample))
-    return used.withColumn("split", F.explode(outputs))
+    return positioned.withColumn("split", F.explode(outputs))

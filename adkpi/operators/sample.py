@@ -11,12 +11,13 @@ from adkpi.functions.scalars import seeded_digest
 from adkpi.session import staged
 
 _SPACE = 1 << 128
+_COPIES_PER_BLOCK = 10_000
 
 
 def fixed_size_sample(
-    df: DataFrame, size: int, key: str, seed: int = 42, total: int | None = None
+    df: DataFrame, size: int | None, key: str, seed: int = 42, total: int | None = None
 ) -> DataFrame:
-    """The ``size`` rows with the smallest seeded digest of ``key``, or all if fewer.
+    """The ``size`` rows with the smallest seeded digest of ``key``; all if fewer, or for None.
 
     ``key`` must identify a row. The choice depends on seed and key only, not on how the
     rows are partitioned. Digests are uniform, so a cut-off a little above the expected
@@ -24,6 +25,8 @@ def fixed_size_sample(
     off by ranking only a narrow band at the upper end, about the square root of ``size``
     wide. The input is read twice (once if ``total`` is given) and never shuffled.
     """
+    if size is None:
+        return df
     if size < 0:
         raise ValueError("sample size must not be negative")
     if total is None:
@@ -36,7 +39,8 @@ def fixed_size_sample(
     while True:
         high = _cut(size + margin, total)
         pool = staged(ranked if high is None else ranked.filter(digest < high))
-        if pool.count() >= size:
+        # Without a cut the pool holds everything, also where ``total`` was told too high.
+        if high is None or pool.count() >= size:
             break
         margin *= 8
     while True:
@@ -51,6 +55,28 @@ def fixed_size_sample(
     return sure.unionByName(chosen).drop("_digest")
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """Add a text key from a row's content and its number among equal rows.
+
+    The same rows get the same keys however they are split or read. Equal rows are counted
+    first, combined before the shuffle, and dealt out again in blocks, so a line that is
+    repeated very often is neither gathered in one task nor unfolded there.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    last = F.floor((F.col("_copies") - 1) / _COPIES_PER_BLOCK)
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # Only rows with more than one block are dealt anew; the others stay where they are.
+    many = blocks.filter(F.col("_copies") > _COPIES_PER_BLOCK).repartition(*df.columns, "_block")
+    one = blocks.filter(F.col("_copies") <= _COPIES_PER_BLOCK)
+    first = F.col("_block") * _COPIES_PER_BLOCK + 1
+    upto = F.least("_copies", first + (_COPIES_PER_BLOCK - 1))
+    numbered = one.unionAll(many).withColumn("_copy", F.explode(F.sequence(first, upto)))
+    # to_json keeps cells apart and leaves absent ones out.
+    content = F.to_json(F.struct(*df.columns))
+    key = F.md5(F.concat_ws("|", content, F.col("_copy").cast("string")))
+    return numbered.select(*df.columns, key.alias(name))
+
+
 def _cut(expected_rows: float, total: int) -> str | None:
     """Digest below which the given number of rows is expected; None past either end."""
     if expected_rows <= 0 or expected_rows >= total:

@@ -40,11 +40,21 @@ def overwrite_days_frames(target: DataFrame, source: DataFrame, day: str) -> Dat
 
 
 def changed_rows(
-    target: DataFrame, source: DataFrame, columns: Sequence[str] | None = None
+    target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool = False
 ) -> DataFrame:
-    """Source rows that are new or differ from the target in any compared column."""
-    compared = columns or [c for c in source.columns if c != CLOCK_COLUMN]
-    return _without(source, target, compared, null_safe=True)
+    """Source rows that are new or differ from the target in any column but the clock's.
+
+    Joined by key alone, so frames that are partitioned by it stay as they are.
+    """
+    compared = [c for c in source.columns if c != CLOCK_COLUMN and c not in keys]
+    held = target.select(*keys, *compared, F.lit(True).alias("_held")).alias("r")
+    joined = source.alias("l").join(held, _match("l", "r", keys, null_safe), "left")
+    same = reduce(
+        Column.__and__,
+        [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in compared],
+        F.col("r._held").isNotNull(),
+    )
+    return joined.filter(~same).select("l.*")
 
 
 def require_unique(source: DataFrame, keys: Sequence[str]) -> None:
@@ -67,8 +77,10 @@ def upsert_table(
 
     The source is staged, then only the days are rewritten that hold a source row or a
     row replaced by one. A row may move to another day; a day that loses its last row that
-    way is cleared afterwards. The days are written before old ones are cleared, so a run
-    that died halfway is repaired by running it again.
+    way is cleared afterwards. Replacing several days is not atomic: a run that dies between
+    removing a day's old files and moving its new ones into place loses that day's rows that
+    the source does not hold. The remedy is to rebuild the days from the zones, by a merge
+    without ``since`` whose window covers them.
 
     ``only_changed`` skips source rows equal to what the table holds. ``replace_where``
     is a condition on the day: rows it selects go unless the source still has their key.
@@ -90,7 +102,7 @@ def upsert_table(
     if only_changed:
         # Only rows whose key the source holds can tell whether it changed anything.
         lookup = staged(_join(lookup, source, keys, table.null_safe, "left_semi"))
-        source = staged(changed_rows(lookup, source))
+        source = staged(changed_rows(lookup, source, keys, table.null_safe))
 
     replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
     leaving_rows = replaced.select(table.day)
@@ -143,7 +155,7 @@ def merge_into(
     # Rows to delete are those the full source lacks, so it must then be merged as a whole.
     if only_changed and replace_where is None:
         held = _join(table.read(source.sparkSession), source, keys, table.null_safe, "left_semi")
-        merged = staged(changed_rows(held, source))
+        merged = staged(changed_rows(held, source, keys, table.null_safe))
     writer = (
         merged.alias("source")
         .mergeInto(table.name, _match(table.name, "source", keys, table.null_safe))

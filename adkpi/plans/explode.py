@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adkpi.operators.explode import event_payloads, explode_events, split_unusable, with_event_ids
 from adkpi.operators.position import first_by_time
+from adkpi.session import in_utc
 from adkpi.sources.delimited import ROW_ID, read_normalised_csv
 
 
@@ -28,6 +30,7 @@ def messages(
     return rows, unusable.select(*records.columns)
 
 
+@in_utc
 def run(
     spark: SparkSession,
     source: str,
@@ -38,8 +41,11 @@ def run(
 ) -> dict[str, Any]:
     """Write messages to a broker if one is given, else append Parquet message files.
 
-    Unusable records go to ``out/rejects``.
+    Unusable records go to ``out/rejects``. Ids carry ``source_label``, by default a short
+    digest of the source's path; an empty label numbers every source from ``evt_00000000``.
     """
+    if source_label is None:
+        source_label = hashlib.md5(source.rstrip("/").encode()).hexdigest()[:8]
     rows, unusable = messages(read_normalised_csv(spark, source), limit, source_label)
     if servers:
         rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()

@@ -14,13 +14,14 @@ from adkpi.operators.kpis import LATE_THRESHOLD_SEC, PERCENTILE_ACCURACY, campai
 from adkpi.operators.quality import assert_quality
 from adkpi.operators.upsert import in_days, merge_into, upsert_table
 from adkpi.paths import Layout
-from adkpi.session import staged
+from adkpi.session import in_utc, staged
 from adkpi.sources.tables import CatalogTable, DayTable
 
 # Fixed value: default number of days a run re-aggregates.
 MERGE_WINDOW_DAYS = 7
 
 
+@in_utc
 def run(
     spark: SparkSession,
     layout: Layout,
@@ -28,6 +29,7 @@ def run(
     late_threshold_sec: int = LATE_THRESHOLD_SEC,
     as_of: dt.date | None = None,
     check: bool = True,
+    check_stored: bool = False,
     days: Sequence[dt.date | None] | None = None,
     accuracy: int = PERCENTILE_ACCURACY,
     exact_percentiles: bool = False,
@@ -40,7 +42,8 @@ def run(
 
     The check sees the computed rows before anything is written, so a failed run leaves
     the table as it was. ``days`` is the list a silver merge returns: a late conversion
-    then costs the days it changed and no others. ``delete_missing`` also removes groups
+    then costs the days it changed and no others. ``check_stored`` also checks the whole
+    stored summary after the write, so bad rows of earlier runs are reported. ``delete_missing`` also removes groups
     of the selected days that silver no longer has.
     """
     silver = silver or DayTable.silver(layout)
@@ -71,4 +74,6 @@ def run(
         touched = upsert_table(
             table, kpis, only_changed, replace_where=replace_where, check_unique=False
         )
+    if check_stored:
+        assert_quality(table.read(spark))
     return {"table": table.name or table.path, "rows": kpis.count(), "touched_days": touched}

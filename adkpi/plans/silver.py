@@ -15,9 +15,10 @@ from adkpi.operators.assemble import (
     recent_days,
     touched_ids,
 )
+from adkpi.operators.latest import split_rejects
 from adkpi.operators.upsert import merge_into, upsert_table
 from adkpi.paths import Layout
-from adkpi.session import staged
+from adkpi.session import in_utc, staged
 from adkpi.sources.tables import CatalogTable, DayTable
 from adkpi.sources.zones import read_zones
 
@@ -27,11 +28,12 @@ MODES = ("merge", "full-refresh", "replace-all")
 MERGE_WINDOW_DAYS = 7
 
 
+@in_utc
 def run(
     spark: SparkSession,
     layout: Layout,
     mode: str = "merge",
-    window_days: int | None = MERGE_WINDOW_DAYS,
+    window_days: int | None | str = "default",
     as_of: dt.date | None = None,
     raw_format: str = "parquet",
     since: dt.date | None = None,
@@ -43,7 +45,10 @@ def run(
 
     ``merge`` upserts the days of the window (None: all days); ``full-refresh`` replaces
     the days that occur; ``replace-all`` replaces the table. ``since`` restricts a merge to
-    ids ingested from that day on, which gives the same rows from less work.
+    ids ingested from that day on, which gives the same rows from less work. The window is
+    ``MERGE_WINDOW_DAYS`` unless given, and all days with ``since``, whose late rows may be of
+    any age. Rows that a window leaves out are counted in the report as ``outside_window``,
+    rows without an id, which stay in their zone, as ``rejected``.
     ``trust_dates`` says that all copies of an id carry one event time and that nothing is
     ingested before the day of its impression. Then zone partitions before the window, and
     table days outside of it, cannot matter and are not read.
@@ -53,6 +58,8 @@ def run(
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if since is not None and mode != "merge":
         raise ValueError("since needs mode merge, as other modes would lose untouched rows")
+    if window_days == "default":
+        window_days = None if since is not None else MERGE_WINDOW_DAYS
     table = table or DayTable.silver(layout)
     table.ensure(spark)
     zones = read_zones(spark, layout, raw_format)
@@ -69,10 +76,12 @@ def run(
     else:
         rows = assemble_touched(zones, staged(touched_ids(zones, since)))
 
-    seen = Observation("silver")
+    seen, outside = Observation("silver"), Observation("outside")
     days: list[dt.date | None] | None = None
     if mode == "merge":
         if window_days is not None:
+            recent = F.col("event_date") >= first_recent_day(window_days, as_of)
+            rows = rows.observe(outside, F.count_if(~F.coalesce(recent, F.lit(False))).alias("n"))
             rows = recent_days(rows, window_days, as_of)
         rows = _counted(rows, seen)
         if isinstance(table, CatalogTable):
@@ -93,6 +102,8 @@ def run(
         "table": table.name or table.path,
         "mode": mode,
         "touched_days": days,
+        "rejected": {kind: split_rejects(zone)[1].count() for kind, zone in zones.items()},
+        "outside_window": outside.get["n"] if mode == "merge" and window_days is not None else 0,
         **seen.get,
     }
 

@@ -340,8 +340,9 @@ ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 1000""",
 SELECT row_key, ts AS "timestamp", position,
        CASE WHEN position < 8000 THEN 'initial' WHEN position < 8200 THEN 'batch_01'
             WHEN position < 8500 THEN 'batch_02' WHEN position < 8900 THEN 'batch_03'
-            WHEN position < 9400 THEN 'batch_04' ELSE 'batch_05' END AS split
-FROM placed WHERE position < 10000
+            WHEN position < 9400 THEN 'batch_04' WHEN position < 10000 THEN 'batch_05'
+            ELSE 'rest' END AS split
+FROM placed
 UNION ALL
 SELECT row_key, ts, position, 'sample' FROM placed WHERE position < 1000""",
     "explode_impressions": f"WITH {RECORDS} {IMPRESSION_EVENTS}",

@@ -199,7 +199,9 @@ def silver_upsert(spark, sf_dir):
 
 
 def silver_changed_rows(spark, sf_dir):
-    return changed_rows(_early_silver(spark, sf_dir), _merge_source(spark, sf_dir))
+    return changed_rows(
+        _early_silver(spark, sf_dir), _merge_source(spark, sf_dir), ["event_id"]
+    )
 
 
 def gold_upsert(spark, sf_dir):

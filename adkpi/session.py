@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,29 @@ def build_session(
     return builder.getOrCreate()
 
 
+_ZONE = "spark.sql.session.timeZone"
+
+
+def in_utc(job: Callable[..., Any]) -> Callable[..., Any]:
+    """Run a job with the session's time zone at UTC, and put the zone back afterwards.
+
+    Days and hours of events must not depend on the session a job is called in. The job's
+    first argument is a session, or a frame of it.
+    """
+
+    @wraps(job)
+    def run(first: SparkSession | DataFrame, *args: Any, **kwargs: Any) -> Any:
+        spark = first if isinstance(first, SparkSession) else first.sparkSession
+        before = spark.conf.get(_ZONE)
+        spark.conf.set(_ZONE, "UTC")
+        try:
+            return job(first, *args, **kwargs)
+        finally:
+            spark.conf.set(_ZONE, before)
+
+    return run
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir``).
 

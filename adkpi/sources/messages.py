@@ -14,15 +14,21 @@ def topic_stream(
     servers: str,
     topic: str | None = None,
     starting_offsets: str = "earliest",
+    max_offsets_per_batch: int | None = None,
 ) -> DataFrame:
-    """Unbounded topic. Needs the Kafka connector on the class path at submit time."""
-    return (
+    """Unbounded topic. Needs the Kafka connector on the class path at submit time.
+
+    ``max_offsets_per_batch`` cuts a backlog into batches of that size; nothing is dropped.
+    """
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic_for(event_type, topic))
         .option("startingOffsets", starting_offsets)
-        .load()
     )
+    if max_offsets_per_batch:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_batch)
+    return reader.load()
 
 
 def file_stream(

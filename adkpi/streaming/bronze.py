@@ -7,9 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from adkpi.operators.parse import parse_messages
 from adkpi.paths import Layout
+from adkpi.session import in_utc
 from adkpi.sources.zones import FORMATS
 
 
+@in_utc
 def start(
     messages: DataFrame,
     event_type: str,

@@ -1,10 +1,15 @@
 """The five jobs in a row, as they are started from the command line."""
 
+import datetime as dt
 import json
 
 import pytest
 
 from adkpi import cli
+from adkpi.paths import Layout
+from adkpi.plans import explode, prepare, silver
+from adkpi.sources.messages import file_stream
+from adkpi.streaming import bronze
 
 HEADER = "timestamp\tuid\tcampaign\tclick\tconversion\tconversion_timestamp\tcost\n"
 
@@ -26,7 +31,7 @@ def test_jobs_in_a_row(spark, tmp_path, capsys):
 
     report = call(capsys, "prepare", "--input", raw, "--output", csv)
     assert report["splits"]["initial"] == 120
-    report = call(capsys, "explode", "--csv", csv / "split=initial", "--output", events)
+    report = call(capsys, "explode", "--csv", csv / "prepared/split=initial", "--output", events)
     assert report["messages"] == {"ad-impressions": 120, "ad-clicks": 80, "ad-conversions": 20}
     for kind in ("impression", "click", "conversion"):
         call(
@@ -43,6 +48,34 @@ def test_jobs_in_a_row(spark, tmp_path, capsys):
     assert (even.late_conversion_count, even.p95_conversion_delay_sec) == (20, 5000.0)
 
 
+def test_days_do_not_depend_on_the_session(spark, tmp_path):
+    raw = tmp_path / "raw.tsv"
+    raw.write_text(HEADER + "\n".join(f"{t}\tu\t1\t0\t0\t\t0.5" for t in range(20)) + "\n")
+    found, before = [], spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            name = zone.replace("/", "-")
+            lake, events = Layout.for_warehouse(str(tmp_path / name)), str(tmp_path / f"{name}-e")
+            csv = prepare.run(spark, str(raw), str(tmp_path / f"{name}-csv"))["output"]
+            explode.run(spark, f"{csv}/split=initial", events, source_label="")
+            stream = file_stream(spark, f"{events}/messages", "impression")
+            bronze.start(stream, "impression", lake, trigger="available").awaitTermination()
+            for kind in ("click", "conversion"):
+                stream = file_stream(spark, f"{events}/messages", kind)
+                bronze.start(stream, kind, lake, trigger="available").awaitTermination()
+            report = silver.run(spark, lake, as_of=dt.date(2026, 5, 20))
+            assert (report["rows"], report["outside_window"]) == (20, 0)
+            assert report["rejected"] == {"impression": 0, "click": 0, "conversion": 0}
+            early = silver.run(spark, lake, as_of=dt.date(2027, 5, 20))
+            assert (early["rows"], early["outside_window"]) == (0, 20)
+            assert spark.conf.get("spark.sql.session.timeZone") == zone
+            found.append(report["touched_days"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1] == [dt.date(2026, 5, 15)]
+
+
 def test_bad_arguments():
     for argv in (
         ["silver", "--warehouse", "/w", "--bucket", "b"],

@@ -93,14 +93,18 @@ def test_hot_id_gives_one_row_with_its_latest_values(spark):
     assert hot.conversion_delay_sec == last - last % 3
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
 def test_touched_ids_give_full_rebuild_rows_either_way(spark, limit):
     z = zones(spark, ids=40, hot_copies=300)
     ids = spark.createDataFrame([("hot",), ("e3",), ("gone",)], "event_id string")
     drop = lambda df: sorted(map(str, df.drop("updated_at").collect()))
     full = assemble_silver(z["impression"], z["click"], z["conversion"])
-    part = assemble_touched(z, ids, broadcast_limit=limit)
-    assert drop(part) == drop(full.filter(F.col("event_id").isin("hot", "e3")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        part = drop(assemble_touched(z, ids))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert part == drop(full.filter(F.col("event_id").isin("hot", "e3")))
 
 
 def test_join_plan_shuffles_each_zone_once(spark):

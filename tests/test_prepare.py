@@ -11,7 +11,7 @@ from adkpi.operators.explode import conversion_events, split_unusable
 from adkpi.operators.normalise import normalise, rebase_offset, timestamp_range
 from adkpi.operators.position import first_by_time, with_position, with_splits
 from adkpi.operators.profile import dataset_profile
-from adkpi.operators.sample import fixed_size_sample
+from adkpi.operators.sample import fixed_size_sample, with_row_key
 from adkpi.plans import explode, prepare
 from adkpi.sources.delimited import read_normalised_csv, read_raw_tsv
 
@@ -99,7 +99,7 @@ def test_splits(spark):
         .count()
         .collect()
     }
-    assert counts(100) == {"initial": 80, "batch_01": 2, "batch_02": 3, "sample": 10}
+    assert counts(100) == {"initial": 80, "batch_01": 2, "batch_02": 3, "rest": 15, "sample": 10}
     assert counts(82) == {"initial": 80, "batch_01": 2, "sample": 10}
     assert counts(10) == {"initial": 10, "sample": 10}
 
@@ -130,17 +130,18 @@ def test_prepare_then_explode(spark, tmp_path):
     out = str(tmp_path / "csv")
     report = prepare.run(spark, source, out, sample=90, initial=60, batches=(10, 10), quick=5)
     assert report["source_rows"] == 100 and report["offset"] == BASE
-    assert report["splits"] == {"initial": 60, "batch_01": 10, "batch_02": 10, "sample": 5}
+    assert report["splits"] == {"initial": 60, "batch_01": 10, "batch_02": 10, "rest": 10, "sample": 5}
     assert report["profile"]["total"] == 90
     again = prepare.run(spark, source, str(tmp_path / "again"), sample=90, initial=60, batches=(10, 10), quick=5)
     assert again["profile"] == report["profile"]
 
-    first = read_normalised_csv(spark, f"{out}/split=initial")
-    second = read_normalised_csv(spark, f"{out}/split=batch_01")
+    csv = report["output"]
+    first = read_normalised_csv(spark, f"{csv}/split=initial")
+    second = read_normalised_csv(spark, f"{csv}/split=batch_01")
     assert first.agg(F.max("timestamp")).first()[0] <= second.agg(F.min("timestamp")).first()[0]
 
     events = str(tmp_path / "events")
-    report = explode.run(spark, f"{out}/split=initial", events)
+    report = explode.run(spark, f"{csv}/split=initial", events, source_label="")
     assert report["messages"]["ad-impressions"] == 60 and report["rejects"] == 0
     rows = spark.read.parquet(f"{events}/messages").collect()
     bodies = [json.loads(r.value) for r in rows]
@@ -152,7 +153,7 @@ def test_prepare_then_explode(spark, tmp_path):
     for event_id, click in by_type["click"].items():
         assert 1 <= click["timestamp"] - by_type["impression"][event_id]["timestamp"] <= 30
     assert all(c["conversion_delay_sec"] == 30 for c in by_type["conversion"].values())
-    explode.run(spark, f"{out}/split=batch_01", str(tmp_path / "b1"), limit=3, source_label="b1")
+    explode.run(spark, f"{csv}/split=batch_01", str(tmp_path / "b1"), limit=3, source_label="b1")
     ids = spark.read.parquet(str(tmp_path / "b1/messages")).select(F.get_json_object("value", "$.event_id")).distinct()
     assert sorted(r[0] for r in ids.collect()) == [f"evt_b1_{i:08d}" for i in range(3)]
 
@@ -160,7 +161,7 @@ def test_prepare_then_explode(spark, tmp_path):
 def test_keep_cats_round_trip(spark, tmp_path):
     source, out = write_tsv(tmp_path / "raw.tsv"), str(tmp_path / "csv")
     prepare.run(spark, source, out, keep_cats=True, preserve_relative=True)
-    rows = {r.uid: r for r in read_normalised_csv(spark, f"{out}/split=initial", keep_cats=True).collect()}
+    rows = {r.uid: r for r in read_normalised_csv(spark, f"{out}/prepared/split=initial", keep_cats=True).collect()}
     assert rows["u1"].timestamp == 10 and rows["u1"].cat2 == "c2"
     assert rows['"u4'].cost == "1.25"
 
@@ -179,3 +180,54 @@ def test_unusable_records_and_conversion_rules(spark):
     assert bad.count() == 3
     [event] = conversion_events(good.withColumn("event_id", F.lit("e"))).collect()
     assert (event.timestamp, event.conversion_delay_sec) == (40, 0)
+
+
+def test_prepare_leaves_other_files_and_all_rows(spark, tmp_path):
+    lines = [f"{t}\tu\t1\t0\t0\t\t0.5" for t in range(50)]
+    source, beside = write_tsv(tmp_path / "raw.tsv", lines), tmp_path / "events" / "x.txt"
+    beside.parent.mkdir()
+    beside.write_text("kept")
+    for _ in range(2):
+        report = prepare.run(
+            spark, source, str(tmp_path), sample=None, initial=8, batches=(2, 2), quick=3
+        )
+        assert report["splits"] == {
+            "initial": 8, "batch_01": 2, "batch_02": 2, "rest": 38, "sample": 3,
+        }
+    assert beside.read_text() == "kept" and read_raw_tsv(spark, source).count() == 50
+    with pytest.raises(ValueError, match="would be replaced"):
+        prepare.run(spark, f"{tmp_path}/prepared/split=rest", str(tmp_path))
+
+
+def test_sample_is_the_same_for_every_split_size(spark, tmp_path):
+    lines = [f"{t % 40}\tu{t % 7}\t1\t0\t0\t\t0.5" for t in range(300)]
+    lines += ["5\tsame\t1\t0\t0\t\t0.5"] * 300
+    source = write_tsv(tmp_path / "raw.tsv", lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for size in ("1k", "5k", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        keyed = with_row_key(read_raw_tsv(spark, source), "k")
+        assert keyed.select("k").distinct().count() == keyed.count() == 600
+        found.append(sorted(r["k"] for r in fixed_size_sample(keyed, 90, "k").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 90
+    # A total that is told too high ends the search all the same.
+    assert fixed_size_sample(keyed, 700, "k", total=5000).count() == 600
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "uid,cost,timestamp,campaign,click,conversion,conversion_timestamp\n,1.5,7,3,1,0,\n"
+    )
+    rows = read_normalised_csv(spark, str(tmp_path / "a.csv"))
+    [row] = rows.collect()
+    assert (row.timestamp, row.campaign, row.cost, row.click) == (7, "3", "1.5", 1)
+    explode.run(spark, str(tmp_path / "a.csv"), str(tmp_path / "one"))
+    explode.run(spark, str(tmp_path / "a.csv") + "/", str(tmp_path / "same"))
+    bodies = [
+        json.loads(r.value) for r in spark.read.parquet(str(tmp_path / "one/messages")).collect()
+    ]
+    assert all(b["uid"] == "" for b in bodies)
+    (tmp_path / "b.csv").write_text("uid,timestamp\nu,1\n")
+    with pytest.raises(ValueError, match="campaign"):
+        read_normalised_csv(spark, str(tmp_path / "b.csv"))
