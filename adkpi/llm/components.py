@@ -7,15 +7,18 @@ before their shuffle and joined back, so a hub with very many neighbours is only
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from adkpi.session import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), total).first())
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The staged edges, with their number and a checksum that come with the write."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("total")
+    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("rows"), total))
+    return out, (seen.get["rows"], seen.get["total"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,12 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated pairs and either direction are fine. No edges give no rows.
     """
     ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = staged(ends.filter("a <> b").distinct())
-    state = _state(current)
+    current, state = _round(ends.filter("a <> b").distinct())
     while state[0]:
-        following = staged(_small_star(_large_star(current)))
-        reached = _state(following)
-        current = following
+        current, reached = _round(_small_star(_large_star(current)))
         if reached == state:
             break
         state = reached
