@@ -19,7 +19,7 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def slices(
-    batch: pa.RecordBatch, *columns: str, limit: int = 4 << 20
+    batch: pa.RecordBatch, *columns: str, limit: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts have about ``limit`` bytes together; one row at least."""
     lengths = sum(
