@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.llm.components import components
@@ -39,6 +39,23 @@ _PART_BYTES = 1 << 19
 LEVELS = 5
 
 
+def list_marks(member: str) -> list[Column]:
+    """Aggregates ``n, m1, m2``: the length of a list and marks of who is in it."""
+    return [
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64(member)).alias("m1"),
+        F.bit_xor(F.xxhash64(F.lit(1), member)).alias("m2"),
+    ]
+
+
+def different_lists(lists: DataFrame) -> DataFrame:
+    """``key, n`` of one of several lists with the same members.
+
+    Neighbouring elements are often shared by the same sets; one list of them is enough.
+    """
+    return lists.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def _rows(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
@@ -139,9 +156,9 @@ class _Linker:
             )
         placed = placed.select("key", "id", "c")
         spread = placed.groupBy("key").agg(
-            F.min("c").alias("_l"), F.max("c").alias("_h"), F.count("*").alias("n")
+            F.min("c").alias("_l"), F.max("c").alias("_h"), *list_marks("id")
         )
-        return placed.join(spread.filter("_l <> _h").select("key", "n"), "key")
+        return placed.join(different_lists(spread.filter("_l <> _h")), "key")
 
 
 def _pairs_within(lists: DataFrame) -> DataFrame:

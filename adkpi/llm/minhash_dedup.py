@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.llm.components import components
-from adkpi.llm.links import SHORT_LIST, linked_pairs
+from adkpi.llm.links import SHORT_LIST, different_lists, linked_pairs, list_marks
 from adkpi.llm.shipping import ship
 from adkpi.llm.text import buffers, lower_ascii, mix, range_hashes, shingles, slices, words
 from adkpi.session import staged
@@ -127,8 +127,8 @@ def candidate_lists(signed: DataFrame, matches: int, percent: int) -> DataFrame:
     )
     out = None
     for level in range(_LEVELS + 1):
-        counts = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        lists = staged(postings.join(counts, "key"))
+        counts = postings.groupBy("key").agg(*list_marks("id")).filter("n > 1")
+        lists = staged(postings.join(different_lists(counts), "key"))
         short = lists if level == _LEVELS else lists.filter(F.col("n") <= SHORT_LIST)
         left = short.select("key", F.col("id").alias("a"))
         right = short.select("key", F.col("id").alias("b"))
