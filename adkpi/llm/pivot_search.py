@@ -40,8 +40,8 @@ BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable vectors as rows scaled to length 1, and their row numbers."""
+def _matrix(column: pa.Array | pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Vectors without absent parts, in double precision, and their row numbers."""
     vectors, rows = [], []
     for row, item in enumerate(column):
         if item.is_valid and len(item):
@@ -68,10 +68,8 @@ def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
         .limit(4 * count)
         .select("embedding")
         .toArrow()
-        .combine_chunks()
     )
-    column = sample.column("embedding").combine_chunks()
-    found, _ = _matrix(column if isinstance(column, pa.Array) else pa.concat_arrays([]))
+    found, _ = _matrix(sample.column("embedding"))
     if not found:
         return np.zeros((0, 0))
     lengths = [len(v) for v in found]
