@@ -198,6 +198,19 @@ def test_pipeline(spark):
     assert docs.select("doc_id").distinct().count() == len({r["doc_id"] for r in texts})
 
 
+def test_near_dedup_stage_at_its_threshold(spark):
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(12):  # 300 words cut to 250 ... 239: 0.83 to 0.79 of the shingles
+        own = [f"{w}v{k}" for w in base]
+        rows += [(2 * k, " ".join(own), "en", "a", 0), (2 * k + 1, " ".join(own[: 250 - k]), "en", "a", 0)]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    home = groups(sets, 80)
+    assert groups(sets, 85) != home
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF_DIR)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in sets if home[i] == i}
+
+
 def test_pipeline_without_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
