@@ -198,3 +198,43 @@ def test_line_dedup(spark):
     gone = {i for i in texts if texts[i] and texts[i].strip() and not left(i).strip()}
     assert {r["doc_id"] for r in full.collect()} == set(texts) - gone
     assert line_dedup.deduplicate_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def lines_left(rows, percent=80):
+    """Text left of each row, by brute force; rows with a NULL id count as the last."""
+    places = {}
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            if WORD.search(line):
+                at = (i is None, i or 0, k)
+                places[line] = min(places.get(line, at), at)
+    names = sorted(places, key=lambda line: (places[line], line))
+    sets = {
+        n: frozenset(line[j : j + 8] for j in range(max(1, len(line) - 7)))
+        for n, line in enumerate(names)
+    }
+    home = groups(sets, percent)
+    stays = {line for n, line in enumerate(names) if home[n] == n}
+    out = []
+    for i, text in rows:
+        kept = None if text is None else [
+            line
+            for k, line in enumerate(text.split("\n"))
+            if not WORD.search(line) or (line in stays and places[line] == (i is None, i or 0, k))
+        ]
+        out.append((i, None if kept is None else "\n".join(kept)))
+    return out
+
+
+def test_line_dedup_of_repeated_content(spark):
+    """Lines whose distinct shingles are alike while their lengths are far apart."""
+    rows = [
+        (1, "buy now " * 9 + "\n" + "-=" * 30 + " a"),
+        (2, "buy now " * 30 + "\n" + "-=" * 90 + " a"),
+        (3, "Home | About | News | " * 4),
+        (4, "Home | About | News | " * 12),
+    ]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = line_dedup.deduplicate_lines(docs).select("doc_id", "text").collect()
+    assert dict(map(tuple, got)) == dict(lines_left(rows))
+    assert dict(lines_left(rows))[2] == ""
