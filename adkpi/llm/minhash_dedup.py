@@ -20,7 +20,9 @@ by 64-bit hashes.
 Defined results: a document without words (NULL or empty text) has an empty set and is linked
 with nothing. One with fewer words than a shingle has its whole sequence as the one element.
 Rows with a NULL id are linked with nothing, have a NULL component and are kept. Rows that
-repeat an id get the smallest component and the largest set size among them. Other columns pass through ``deduplicate`` unchanged.
+repeat an id with another text are compared by their own texts; in ``op5_minhash_dedup`` such an
+id gets the smallest component and the largest set size among them, and is kept if a row of it
+is. Other columns pass through ``deduplicate`` unchanged.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of ``id, text`` with a word: ``id, n, f1, f2, sig`` of its set."""
+    """Per row of ``id, key, text`` with a word: ``id, key, n, f1, f2, sig`` of its set."""
     ship(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +93,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(full),
+                        part.column("key").take(full),
                         pa.array(counts[counts > 0]),
                         pa.array(_sums(mix(grams), counts).view(np.int64)),
                         pa.array(_sums(mix(grams ^ _SEEDS[0]), counts).view(np.int64)),
@@ -98,10 +101,10 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                             pa.array(step), pa.array(sig.view(np.int32).ravel())
                         ),
                     ],
-                    names=["id", "n", "f1", "f2", "sig"],
+                    names=["id", "key", "n", "f1", "f2", "sig"],
                 )
 
-    return docs.mapInArrow(measure, "id long, n long, f1 long, f2 long, sig array<int>")
+    return docs.mapInArrow(measure, "id long, key long, n long, f1 long, f2 long, sig array<int>")
 
 
 def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -177,55 +180,73 @@ def candidate_lists(signed: DataFrame, matches: int, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, size: int = SHINGLE
 ) -> DataFrame:
-    """``id, n_shingles, component`` for rows with an id and a word; component is the least id."""
+    """``id, key, n_shingles, component`` for rows with an id and a word.
+
+    ``key`` is the hash of the row's text; component is the least id.
+    """
     own = docs.filter(F.col("doc_id").isNotNull())
-    own = own.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    own = own.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64("text").alias("key"),
+        F.col("text").cast("string"),
+    )
     signed = staged(_scan(own, size))
     kind = ["n", "f1", "f2"]
+    # Several classes can have one least id, if it stands for several texts: they are numbered.
     classes = staged(
         signed.groupBy(*kind)
-        .agg(F.min(F.struct("id", "sig")).alias("_least"))
-        .select(*kind, "_least.id", "_least.sig")
+        .agg(F.min(F.struct("id", "key", "sig")).alias("_least"))
+        .select(
+            *kind,
+            F.monotonically_increasing_id().alias("id"),
+            F.col("_least.id").alias("doc"),
+            "_least.key",
+            "_least.sig",
+        )
     )
     postings = staged(candidate_lists(classes.select("id", "n", "sig"), matches, percent))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        sizes = classes.select("id", "n").join(ids, "id", "left_semi")
-        # Rows that repeat an id may hold another text: any of them stands for the id.
-        return own.join(sizes, "id").dropDuplicates(["id"]).select("id", "n", "text")
+        wanted = classes.select("id", "n", "doc", "key").join(ids, "id", "left_semi")
+        texts = own.select(F.col("id").alias("doc"), "key", "text").join(wanted, ["doc", "key"])
+        # Rows that repeat both id and text give a class's text again.
+        return texts.dropDuplicates(["id"]).select("id", "n", "text")
 
     def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return distinct_grams(texts, size)
 
-    known = components(linked_pairs(postings, texts_of, elements, percent))
-    least = classes.select(*kind, F.col("id").alias("_class"))
-    named = signed.select("id", *kind).join(least, kind)
-    known = known.withColumnRenamed("id", "_class")
-    joined = named.join(known, "_class", "left")
-    return joined.select(
-        "id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "_class").alias("component"),
-    )
+    known = staged(components(linked_pairs(postings, texts_of, elements, percent)))
+    # A component is named by its least document id.
+    named = known.join(classes.select("id", "doc"), "id")
+    least = named.groupBy("component").agg(F.min("doc").alias("_least"))
+    known = known.join(least, "component").select("id", "_least")
+    known = classes.select("id", "doc", *kind).join(known, "id", "left")
+    known = known.select(*kind, F.coalesce("_least", "doc").alias("component"))
+    joined = signed.select("id", "key", *kind).join(known, kind)
+    return joined.select("id", "key", F.col("n").alias("n_shingles"), "component")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id; same columns."""
-    found = near_duplicates(docs, **options)
-    least = found.groupBy("id").agg(F.min("component").alias("component"))
-    gone = least.filter("component <> id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter("component <> id")
+    gone = gone.select(F.col("id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    same = (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs).groupBy(F.col("id").alias("doc_id"))
-    found = found.agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"))
+    found = found.agg(
+        F.max("n_shingles").alias("n_shingles"),
+        F.min("component").alias("component"),
+        F.max(F.col("component") == F.col("id")).alias("_kept"),
+    )
     every = docs.select("doc_id").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return every.select(
         "doc_id",
         F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce("_kept", F.lit(True)).alias("kept"),
     )

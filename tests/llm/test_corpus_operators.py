@@ -5,7 +5,17 @@ import math
 import corpus_pipeline
 import numpy as np
 import pytest
-from fixtures_llm import SCHEMA, as_counter, documents, frame, groups, shingles, without_repeats
+from fixtures_llm import (
+    SCHEMA,
+    as_counter,
+    documents,
+    edited,
+    frame,
+    groups,
+    prose,
+    shingles,
+    without_repeats,
+)
 
 from adkpi.llm import boosting, minhash_dedup, pivot_search, quality_model, suffix_dedup
 from adkpi.llm.components import components
@@ -36,6 +46,25 @@ def test_near_duplicates(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts: each is compared by its own."""
+    bases = [prose(50 + k, 160) for k in range(4)]
+    texts = [(5, b) for b in bases] + [(3, bases[1]), (None, bases[2])]
+    texts += [(10 + k, edited(b, 150, 60 + k)) for k, b in enumerate(bases)]
+    rows = [(i, t, "en", "a", 0) for i, t in texts]
+    sets = {n: shingles(t) for n, (_, t) in enumerate(texts) if texts[n][0] is not None}
+    home = groups(sets, 85)
+    least = {}
+    for n, h in home.items():
+        least[h] = min(least.get(h, texts[n][0]), texts[n][0])
+    want = as_counter((texts[n][0], least[h]) for n, h in home.items())
+    found = minhash_dedup.near_duplicates(frame(spark, rows))
+    assert as_counter(found.select("id", "component").collect()) == want
+    kept = minhash_dedup.deduplicate(frame(spark, rows)).select("doc_id", "text").collect()
+    stays = [texts[n] for n, h in home.items() if least[h] == texts[n][0]]
+    assert as_counter(kept) == as_counter([*stays, (None, bases[2])])
+
+
 def test_links_in_a_long_list(spark):
     """Members far from every leader but close to each other, and chains, are not lost."""
     rng = np.random.default_rng(11)

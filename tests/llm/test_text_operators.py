@@ -238,3 +238,41 @@ def test_line_dedup_of_repeated_content(spark):
     got = line_dedup.deduplicate_lines(docs).select("doc_id", "text").collect()
     assert dict(map(tuple, got)) == dict(lines_left(rows))
     assert dict(lines_left(rows))[2] == ""
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Rows without an id, or with one id and different texts, keep their own lines."""
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdefghij klm"), 60)).strip() for _ in range(12)]
+    near = [line[:-1] + "#" for line in pool]
+    rows = [
+        (1, f"{pool[0]}\n{pool[1]}"),
+        (1, f"{pool[2]}\n{pool[3]}"),
+        (1, f"{pool[4]}\n{pool[5]}"),
+        (2, f"{near[3]}\n{near[0]}\n{near[5]}"),
+        (2, pool[6]),
+        (None, f"{near[1]}\n{pool[7]}"),
+        (None, f"{pool[8]}\n{pool[9]}"),
+        (None, f"{near[8]}\n{near[7]}"),
+        (None, f"{pool[10]}\n{near[2]}\n{pool[11]}"),
+        (None, f"{near[4]}\n{near[6]}"),
+    ]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = line_dedup.deduplicate_lines(docs).select("doc_id", "text").collect()
+    # Every near copy goes but that of line 8, which meets its like among the rows without an id.
+    gone = set(near)
+    want = []
+    for i, text in rows:
+        want.append((i, "\n".join(line for line in text.split("\n") if line not in gone)))
+    got = sorted(((r[0] is None, r[0], r[1]) for r in got), key=str)
+    eight = [(None, pool[8] + "\n" + pool[9]), (None, pool[9])], [(None, ""), (None, near[8])]
+    either = []
+    for first, second in zip(*eight):
+        other = list(want)
+        other[6], other[7] = first, second
+        either.append(sorted(((i is None, i, t) for i, t in other), key=str))
+    assert got in either
+
+    same = [(None, f"{pool[0]}\n{pool[k]}", "en", "a", 0) for k in (1, 2, 3)]
+    got = line_dedup.deduplicate_lines(frame(spark, same)).collect()
+    assert sum(pool[0] in r["text"].split("\n") for r in got) == 1
