@@ -6,6 +6,12 @@ its ``probed`` nearest pivots, ranks what it meets there by footrule distance be
 orders (the sum of the differences of every pivot's place) and compares the best of them,
 ``share`` of each file and ``at_least`` in number, by exact cosine on the original vectors.
 
+Footrules say little where they crowd together: within a cluster that is tighter than the gaps
+between pivots all orders are nearly one. So the cut is no number of vectors but a footrule: that
+of the last vector within the share, and an eighth more, or ``crowd`` of the largest possible
+footrule if that is more. Every vector up to it is compared exactly, which costs about as much
+as its footrule; a cluster within ``crowd`` of a query is thus searched as a whole.
+
 Pivots are a bounded sample (the vectors with the smallest hash of their id, equal vectors
 once); every vector is indexed. A file with many vectors (a frequent vector fills whole files)
 is dealt into blocks by id, and so are its queries, so no task holds more than ``block_rows``
@@ -36,6 +42,7 @@ POSTED = 3
 PROBED = 40
 SHARE = 0.08
 AT_LEAST = 64
+CROWD = 0.125
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
 
@@ -126,6 +133,7 @@ def search(
     probed: int = PROBED,
     share: float = SHARE,
     at_least: int = AT_LEAST,
+    crowd: float = CROWD,
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
@@ -133,6 +141,7 @@ def search(
     chosen = choose_pivots(vectors, pivots)
     probed = min(probed, len(chosen))
     posted = min(posted, len(chosen))
+    least_cut = int(crowd * (len(chosen) ** 2 // 2))
     index = staged(post(vectors, chosen, posted))
     asked = post(queries, chosen, probed)
     # One row per pivot: how many blocks its file and its queries are dealt into.
@@ -165,9 +174,8 @@ def search(
                 at = np.flatnonzero(here)
                 if len(at) > best:
                     footrule = np.abs(places[at] - mine).sum(1, dtype=np.int64)
-                    # Ties go to the smaller id: rows are in order of id.
-                    order = footrule * (len(ids) + 1) + np.arange(len(at))
-                    at = at[np.sort(np.argpartition(order, best - 1)[:best])]
+                    cut = int(np.partition(footrule, best - 1)[best - 1])
+                    at = at[footrule <= max(cut + cut // 8, least_cut)]
                 score = (units[at] * unit).sum(1)
                 top = np.lexsort((ids[at], -score))[:k]
                 out.append((np.full(len(top), query), ids[at][top], score[top]))

@@ -175,6 +175,31 @@ def test_pivot_search(spark):
     assert pivot_search.search(empty, empty).count() == 0
 
 
+def test_pivot_search_in_a_hot_cluster(spark):
+    """Near copies of one vector with a pivot or two among them; production parameters."""
+    rng = np.random.default_rng(17)
+    count, hot = 40000, 1500
+    rows = rng.normal(size=(count, 16))
+    inside = rng.permutation(count)[:hot]
+    rows[inside] = rows[0] + 0.0001 * rng.normal(size=(hot, 16))
+    frame_ = spark.createDataFrame(
+        [(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>"
+    )
+    queries = inside[:60]
+    asked = frame_.filter(frame_.vec_id.isin(queries.tolist()))
+    mine = {}
+    for r in pivot_search.search(frame_, asked).collect():
+        mine.setdefault(r["query_id"], set()).add(r["vec_id"])
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    hits = 0
+    for q in queries.tolist():
+        # Cosines of near copies differ in their last digits only: the distance tells them apart.
+        apart = np.linalg.norm(units - units[q], axis=1)
+        apart[q] = 4
+        hits += len(mine[q] & set(np.argsort(apart)[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(queries), hits
+
+
 def test_trees_learn_and_stay_the_same():
     rng = np.random.default_rng(3)
     rows = rng.normal(size=(3000, 4)).astype(np.float32)
