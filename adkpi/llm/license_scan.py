@@ -1,21 +1,18 @@
-r"""License scan: MinHash bands over overlapping windows retrieve templates, exact containment decides.
+r"""License scan: shared shingles retrieve templates, exact containment decides.
 
-Built-in functions only. Words are lower-cased and lose punctuation; a window is ``WINDOW`` words
-(two shingles of five words), windows overlap in all but two words, so every run of five words
-lies within a window. Each window has ``BANDS`` bands of one MinHash value. The bands of all
-windows of all templates, at every offset, form the index. A window that holds one shingle of a
-template shares at least half of a template window, so it misses all bands with a chance of
-``0.5 ** BANDS`` at most, about 1 in 65,000; each further common shingle lowers it.
+Built-in functions only. Words are lower-cased and lose punctuation; a shingle is five words. The
+shingles of all templates are a table (shingle, template) that every document's shingles are
+joined with, broadcast up to ``BROADCAST`` rows and shuffled beyond, so full license texts fit
+and no document with a shingle of a template is missed.
 
-A document that met the index is then compared exactly: it matches a template if some stretch of
+What met is then compared exactly: a document matches a template if some stretch of
 ``1.25 * m`` (rounded up) consecutive shingles holds at least 80 % of the template's ``m``
-distinct shingles. All of this happens inside the document's row; nothing is shuffled but the
-few matches. Templates are a small table by nature: their index is collected and must stay below
-``MAX_INDEX`` values.
+distinct shingles. Only shingles that stand in a template are shuffled, by document and template.
 
-Defined results: NULL or empty text and texts of fewer than five words match nothing; so do
-templates of fewer than five words. Repeated templates match under each of their names.
-NULL or repeated document ids are scanned row by row.
+Defined results: a template of fewer than five words (an SPDX line) is one shingle, its whole
+sequence, and is looked for at every word; the SQL twin leaves such templates out. Templates
+without a word match nothing, nor do NULL or empty texts. Repeated templates match under each of
+their names. NULL or repeated document ids are scanned row by row.
 """
 
 from __future__ import annotations
@@ -23,31 +20,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adkpi.session import staged
+
 SHINGLE = 5
-WINDOW = 6
-BANDS = 16
 PERCENT = 80
-MAX_INDEX = 200_000
+BROADCAST = 300_000
+_FIRST_WORDS = 1_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = ".,;:!?()[]\""
 _GAP = r"[\x20\x09-\x0D]+"
 
-# Short public notices and opening sentences of public licenses.
+# Short public notices, distinctive passages of public licenses, SPDX lines.
 TEMPLATES = {
+    "agpl-3.0-notice": "the terms of the GNU Affero General Public License as published by the "
+    "Free Software Foundation, either version 3 of the License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-notice": "you may not use this file except in compliance with the License. You may "
+    "obtain a copy of the License at",
+    "apache-2.0-text": "Subject to the terms and conditions of this License, each Contributor hereby "
+    "grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable "
+    "copyright license to reproduce, prepare Derivative Works of",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are "
     "permitted provided that the following conditions are met:",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International "
     "License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+    "International License.",
+    "gpl-2.0-notice": "the terms of the GNU General Public License as published by the Free "
+    "Software Foundation; either version 2 of the License",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-notice": "the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License",
+    "gpl-text": "When we speak of free software, we are referring to freedom, not price. Our General "
+    "Public Licenses are designed to make sure that you have the freedom to distribute copies of "
+    "free software",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+    "without fee is hereby granted, provided that the above copyright notice and this permission "
+    "notice appear in all copies.",
+    "lgpl-2.1-notice": "the terms of the GNU Lesser General Public License as published by the Free "
+    "Software Foundation; either version 2.1 of the License",
+    "lgpl-3.0-notice": "the terms of the GNU Lesser General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of "
     "this software and associated documentation files, to deal in the software without "
     "restriction",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, "
     "v. 2.0.",
+    "mpl-2.0-text": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive "
+    "license under intellectual property rights (other than patent or trademark) Licensable by such "
+    "Contributor",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+TEMPLATES |= {
+    f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}"
+    for name in (
+        "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause",
+        "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0",
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+        "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT",
+        "MPL-2.0", "Unlicense", "Zlib",
+    )
 }
 
 
@@ -60,35 +95,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, _GAP), lambda w: w != "")
 
 
-def _shingles(words: Column) -> Column:
-    starts = F.slice(words, 1, F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0)))
-    return F.transform(
-        starts, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, SHINGLE)))
-    )
+def _hash(words: Column, first: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(first, *(F.get(words, i + k) for k in range(1, size)))
 
 
-def _bands(hashes: Column, step: int) -> Column:
-    """Band values of windows of two shingles, one window every ``step`` shingles."""
-    # A last window may hold one shingle only: least() skips the missing one.
-    last = F.size(hashes) - 1
-
-    def window(i: Column) -> Column:
-        first, second = F.get(hashes, i), F.get(hashes, i + 1)
-        return F.array(
-            *(
-                F.xxhash64(
-                    F.lit(k),
-                    F.least(
-                        F.xxhash64(F.lit(k), first),
-                        F.when(second.isNotNull(), F.xxhash64(F.lit(k), second)),
-                    ),
-                )
-                for k in range(BANDS)
-            )
-        )
+def _shingles(words: Column, size: int = SHINGLE) -> Column:
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: _hash(words, w, i, size))
 
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
-    return F.flatten(F.transform(starts, window))
+
+def _brief(words: Column, size: int, first: list[str]) -> Column:
+    """``h, i`` of the shingles of ``size`` words that begin with one of ``first``, or of all."""
+    at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    last = F.size(words) - size
+    few = len(first) <= _FIRST_WORDS
+    met = F.filter(at, lambda e: (e["w"].isin(first) if few else F.lit(True)) & (e["i"] <= last))
+    return F.transform(
+        met, lambda e: F.struct(_hash(words, e["w"], e["i"], size).alias("h"), e["i"].alias("i"))
+    )
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
@@ -99,55 +123,38 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     templates = default_templates(spark) if templates is None else templates
-    cut = templates.select("license", _words(F.col("text")).alias("_words"))
-    cut = cut.select("license", _shingles(F.col("_words")).alias("_hashes"))
-    cut = cut.filter(F.size("_hashes") > 0)
-    known = cut.select(
-        "license", "_hashes", F.array_distinct(_bands(F.col("_hashes"), 1)).alias("_bands")
+    cut = templates.select(
+        "license", F.monotonically_increasing_id().alias("_t"), _words(F.col("text")).alias("_words")
     )
-    rows = known.limit(MAX_INDEX).collect()
-    total = sum(len(r["_bands"]) for r in rows)
-    if total > MAX_INDEX:
-        raise ValueError(f"{total} index values; {MAX_INDEX} are allowed")
-    index = sorted({v for r in rows for v in r["_bands"]})
-    hashed = docs.select("doc_id", _words(F.col("text")).alias("_words"))
-    hashed = hashed.select("doc_id", _shingles(F.col("_words")).alias("_hashes"))
-    longs = "array<bigint>"
-    values = F.array(*map(F.lit, index)).cast(longs)
-    banded = hashed.withColumn("_met", F.array_intersect(_bands(F.col("_hashes"), 2), values))
-    # A few values per template and document: retrieved templates are compared exactly.
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(r["license"]).alias("license"),
-                F.array(*map(F.lit, sorted(set(r["_hashes"])))).cast(longs).alias("own"),
-                F.array(*map(F.lit, r["_bands"])).cast(longs).alias("bands"),
-            )
-            for r in rows
-        )
+    own = F.when(F.size("_words") >= SHINGLE, _shingles(F.col("_words")))
+    for size in range(1, SHINGLE):
+        own = own.when(F.size("_words") == size, _shingles(F.col("_words"), size))
+    cut = staged(cut.select("license", "_t", F.array_distinct(own).alias("_own"), "_words"))
+    index = cut.select("license", "_t", F.size("_own").alias("_m"), F.explode("_own").alias("h"))
+    if index.count() <= BROADCAST:
+        index = F.broadcast(index)
+    brief = cut.filter(F.size("_words").between(1, SHINGLE - 1))
+    brief = brief.select(F.size("_words").alias("n"), F.get("_words", F.lit(0)).alias("w")).distinct()
+    first: dict[int, list[str]] = {}
+    for r in brief.limit((SHINGLE - 1) * (_FIRST_WORDS + 1)).collect():
+        first.setdefault(r["n"], []).append(r["w"])
+    if sum(map(len, first.values())) > _FIRST_WORDS:
+        first = {n: [""] * (_FIRST_WORDS + 1) for n in range(1, SHINGLE)}
+    hashed = docs.select(
+        "doc_id", F.monotonically_increasing_id().alias("_row"), _words(F.col("text")).alias("_words")
     )
-    if not rows:
-        return hashed.select(
-            "doc_id",
-            F.lit("").alias("license"),
-            F.lit(0.0).alias("containment"),
-            F.lit(0).cast("long").alias("first_word"),
-        ).limit(0)
-    # explode() rather than a filter: a filter would be pushed below and repeat the work above.
-    retrieved = F.filter(entries, lambda t: F.arrays_overlap("_met", t["bands"]))
-    met = banded.select(
-        "doc_id", "_hashes", F.explode(F.when(F.size("_met") > 0, retrieved)).alias("_t")
-    )
-    met = met.select(
-        "doc_id",
-        F.col("_t.license").alias("license"),
-        F.col("_t.own").alias("_own"),
-        F.filter(
-            F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))),
-            lambda e: F.array_contains(F.col("_t.own"), e["h"]),
-        ).alias("_hits"),
+    found = hashed.select("doc_id", "_row", F.posexplode(_shingles(F.col("_words"))).alias("i", "h"))
+    met = found.join(index, "h")
+    if first:
+        short = F.concat(*(_brief(F.col("_words"), n, w) for n, w in sorted(first.items())))
+        short = hashed.select("doc_id", "_row", F.explode(short).alias("_e"))
+        short = short.select("doc_id", "_row", F.col("_e.i").alias("i"), F.col("_e.h").alias("h"))
+        met = met.unionByName(short.join(index, "h"))
+    hit = F.struct(F.col("i"), F.col("h"))
+    met = met.groupBy("_row", "doc_id", "_t", "license", "_m").agg(
+        F.sort_array(F.collect_list(hit)).alias("_hits")
     )
-    reach = F.ceil(F.size("_own") * 1.25)
+    reach = F.ceil(F.col("_m") * 1.25)
     held = F.transform(
         "_hits",
         lambda e, j: F.struct(
@@ -166,11 +173,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
             (-e["i"]).alias("m"),
         ),
     )
-    best = met.select("doc_id", "license", "_own", F.explode(F.array(F.array_max(held))).alias("_best"))
-    return best.filter(F.col("_best.n") * 100 >= F.size("_own") * PERCENT).select(
+    best = met.select("doc_id", "license", "_m", F.explode(F.array(F.array_max(held))).alias("_best"))
+    return best.filter(F.col("_best.n") * 100 >= F.col("_m") * PERCENT).select(
         "doc_id",
         "license",
-        (F.col("_best.n") / F.size("_own")).alias("containment"),
+        (F.col("_best.n") / F.col("_m")).alias("containment"),
         (-F.col("_best.m")).cast("long").alias("first_word"),
     )
 

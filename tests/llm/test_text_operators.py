@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import assert_same, connect
-from fixtures_llm import SCHEMA, WORD, as_counter, documents, frame, groups
+from fixtures_llm import SCHEMA, WORD, as_counter, documents, frame, groups, prose
 
 from adkpi.llm import license_scan, line_dedup, packing, quality_rules, source_mix, token_codec
 from adkpi.llm.queries import ORACLE, QUERIES
@@ -276,3 +276,39 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
     same = [(None, f"{pool[0]}\n{pool[k]}", "en", "a", 0) for k in (1, 2, 3)]
     got = line_dedup.deduplicate_lines(frame(spark, same)).collect()
     assert sum(pool[0] in r["text"].split("\n") for r in got) == 1
+
+
+def test_license_notices_and_brief_templates(spark):
+    notice = (
+        "This {0} is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU {1}General Public License as published by the Free Software Foundation, either version "
+        "{2} of the License, or (at your option) any later version."
+    )
+    texts = [
+        (notice.format("program", "", "3"), {"gpl-3.0-notice"}),
+        (notice.format("program", "", "2"), {"gpl-2.0-notice"}),
+        (notice.format("library", "Lesser ", "2.1"), {"lgpl-2.1-notice"}),
+        (notice.format("library", "Lesser ", "3"), {"lgpl-3.0-notice"}),
+        (notice.format("program", "Affero ", "3"), {"agpl-3.0-notice"}),
+        ("// SPDX-License-Identifier: MIT\nint main() {}", {"spdx-mit"}),
+        ("SPDX-License-Identifier: GPL-2.0-only", {"spdx-gpl-2.0-only"}),
+        ("SPDX-License-Identifier: none of these licenses", set()),
+        ("MIT", set()),
+    ]
+    texts += [(t, {n}) for n, t in license_scan.TEMPLATES.items()]
+    found = license_scan.scan(frame(spark, [(k, t, "en", "a", 0) for k, (t, _) in enumerate(texts)]))
+    mine = {k: set() for k in range(len(texts))}
+    for r in found.collect():
+        mine[r["doc_id"]].add(r["license"])
+    assert [mine[k] for k in mine] == [names for _, names in texts]
+
+
+def test_license_scan_with_full_texts(spark):
+    """More shingles than fit into literals, found at their place."""
+    long = [(f"l{k}", prose(900 + k, 800)) for k in range(20)]
+    templates = spark.createDataFrame(long, "license string, text string")
+    docs = frame(spark, [(k, f"one two {t}", "en", "a", 0) for k, (_, t) in enumerate(long)])
+    rows = license_scan.scan(docs, templates).collect()
+    assert sorted((r["doc_id"], r["license"], r["first_word"]) for r in rows) == [
+        (k, f"l{k}", 2) for k in range(20)
+    ]
