@@ -3,7 +3,7 @@
 A document's set holds its distinct shingles of ``SHINGLE`` words. Documents with equal sets are
 one class from the start. Every class is posted under its signature's coordinate-value pairs.
 Sets of the wanted similarity agree in at least ``MATCHES`` of ``COORDINATES`` places (a pair
-right at the threshold falls short with a chance of about 1 in 10,000), and then in one of
+right at the threshold falls short with a chance of 2.4 in a million), and then in one of
 the first ``COORDINATES - MATCHES + 1``: only this prefix is merged, the other coordinates are
 skipped and read from the signatures of those that met.
 
@@ -43,7 +43,7 @@ from adkpi.session import staged
 SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
-MATCHES = 44
+MATCHES = 40
 _LEVELS = 4
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 

@@ -65,6 +65,13 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert as_counter(kept) == as_counter([*stays, (None, bases[2])])
 
 
+def test_a_pair_at_the_threshold_is_hardly_ever_missed():
+    n, percent = minhash_dedup.COORDINATES, minhash_dedup.PERCENT
+    p = percent / 100
+    short = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(minhash_dedup.MATCHES))
+    assert short < 1e-5
+
+
 def test_links_in_a_long_list(spark):
     """Members far from every leader but close to each other, and chains, are not lost."""
     rng = np.random.default_rng(11)
