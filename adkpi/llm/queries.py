@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 from adkpi.llm import (
+    exact_dedup,
     license_scan,
     line_dedup,
+    merkle_manifest,
     minhash_dedup,
     packing,
     pivot_search,
     quality_model,
     quality_rules,
     source_mix,
+    spelling_groups,
     suffix_dedup,
     token_codec,
 )
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_pivot_search": pivot_search.op9_pivot_search,
     "op10_packing": packing.op10_packing,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_spelling_variants": spelling_groups.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -35,4 +41,7 @@ ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_source_mix": source_mix.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_spelling_variants": spelling_groups.ORACLE,
 }

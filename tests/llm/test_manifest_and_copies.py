@@ -1,0 +1,319 @@
+"""Exact copies, the Merkle manifest and spelling variants, against brute force and SQL."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from compare import assert_same, connect
+from fixtures_llm import documents, frame, prose
+from pyspark.sql import functions as F
+
+from adkpi.llm import exact_dedup, merkle_manifest, spelling_groups
+from adkpi.llm.queries import ORACLE, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+NEW = ["op11_exact_dedup", "op12_merkle_manifest", "op13_spelling_variants"]
+
+
+def odd_rows():
+    """Nulls, ties, repeated rows, spaces, a hot group, and a text of several MB."""
+    rows = documents()
+    rows += [(100 + k, "the  same\ttext", "en", "a", 13) for k in range(60)]
+    rows += [(200, "the same text", "en", "a", 13), (200, "the same text", "en", "a", 13)]
+    rows += [(None, "the same\n\ntext", None, None, None), (None, "only without id", "xx", "a", 1)]
+    rows += [(None, "only without id", "xx", "a", 1), (7, "ONE Two É", None, "a", None)]
+    rows += [(300, prose(7, 400_000), "é", "a", 1), (301, " ", "", "a", 1), (302, "x", "z", "", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("name", [n for n in NEW if n in QUERIES])
+def test_query_matches_sql(spark, name):
+    assert_same(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE[name])
+
+
+def copies_by_hand(rows):
+    groups = defaultdict(list)
+    for n, row in enumerate(rows):
+        body = re.sub(r"[\x20\x09-\x0D]+", " ", row[1] or "")
+        groups[hashlib.sha256(body.encode()).hexdigest()].append((row[0] is None, row[0] or 0, n))
+    out = []
+    for digest, members in groups.items():
+        first = min(members)
+        keep = None if first[0] else first[1]
+        for gone, i, n in members:
+            out.append((None if gone else i, keep, len(members), (gone, i, n) == first, digest))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5, 70])
+def test_exact_copies(spark, parts):
+    rows = odd_rows()
+    docs = frame(spark, rows).repartition(parts) if parts > 1 else frame(spark, rows).coalesce(1)
+    got = exact_dedup.exact_groups(docs)
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(copies_by_hand(rows), key=key)
+
+
+def test_exact_copies_with_any_fan_in(spark):
+    rows = odd_rows()
+    docs = frame(spark, rows).repartition(11)
+    want = sorted(str(r[:3]) for r in copies_by_hand(rows))
+    for fan_in in (2, 3):
+        got = exact_dedup.exact_groups(docs, fan_in=fan_in).collect()
+        assert sorted(str(tuple(r)[:3]) for r in got) == want
+    with pytest.raises(ValueError):
+        exact_dedup.exact_groups(docs, fan_in=1)
+
+
+def test_a_round_never_gathers_a_hot_text(spark):
+    """A text in every run meets at most ``fan_in`` entries of itself in one slot."""
+    docs = frame(spark, [(k, "hot" if k % 3 else f"t{k}", "en", "a", 1) for k in range(256)])
+    rows = exact_dedup.digested(docs, F.col("text"), F.col("doc_id"))
+    runs = exact_dedup.local_runs(rows.withColumn("run", (F.col("id") % 64).cast("int")))
+    hot = runs.groupBy("digest").count().orderBy(F.desc("count")).first()
+    assert hot["count"] == 64
+    once = exact_dedup.tree_merge(runs, 4, fan_in=4)  # one round over digit 0
+    per_slot = once.filter(F.col("digest") == hot["digest"])
+    assert per_slot.count() == 16
+    whole = exact_dedup.tree_merge(runs, 64, fan_in=4)
+    assert whole.groupBy("digest").count().filter("count > 1").count() == 0
+    assert whole.agg(F.sum("rows")).first()[0] == 256
+
+
+def test_drop_exact_keeps_whole_rows(spark):
+    rows = odd_rows()
+    docs = frame(spark, rows).withColumns(
+        {"row": F.lit("x"), "digest": F.lit(1), "run": F.col("lang"), "doc": F.lit(2), "id": F.lit(3)}
+    )
+    left = exact_dedup.drop_exact(docs.repartition(6))
+    assert left.columns == docs.columns
+    want = sorted(str(r[0]) for r in copies_by_hand(rows) if r[3])
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == want
+    assert exact_dedup.drop_exact(frame(spark, [])).count() == 0
+    assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(row, text):
+    doc_id, _, lang, source, n_chars = row
+    values = (doc_id, source, lang, n_chars, text)
+    return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def manifest_by_hand(rows, arity=8):
+    """Recompute every level for each row; the definition in plain Python."""
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            here = out[-1]
+            out.append([digest(*here[k : k + arity]) for k in range(0, len(here), arity)])
+        return out
+
+    def path(tree, at):
+        steps = []
+        for nodes in tree[:-1]:
+            first = at // arity * arity
+            steps.append(("".join(nodes[first:at]), "".join(nodes[at + 1 : first + arity])))
+            at //= arity
+        return steps
+
+    by_lang = defaultdict(list)
+    for row in rows:
+        by_lang[row[2]].append(row)
+    langs = sorted(by_lang, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {}
+    for lang in langs:
+        by_lang[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r, r[1])))
+        trees[lang] = levels([leaf_of(r, r[1]) for r in by_lang[lang]])
+    top = levels([trees[lang][-1][0] for lang in langs])
+    out = []
+    for number, lang in enumerate(langs):
+        for at, row in enumerate(by_lang[lang]):
+            steps = path(trees[lang], at) + path(top, number)
+            crc = None if row[0] is None else zlib.crc32(str(row[0]).encode())
+            text = row[1]
+            if crc is not None and crc % 3 == 0 and text is not None:
+                text = re.sub("[A-Z]+", lambda m: m.group().lower(), text)
+            fold = leaf_of(row, text)
+            for left, right in steps:
+                fold = digest(left, fold, right)
+            proof = digest(*[left + right for left, right in steps])
+            root = top[-1][0]
+            out.append(
+                (row[0], leaf_of(row, row[1]), trees[lang][-1][0], root, proof, fold, fold == root)
+            )
+    return out
+
+
+def audited(spark, rows, tmp_path, **columns):
+    docs = frame(spark, rows).withColumns({k: F.lit(v) for k, v in columns.items()})
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    return QUERIES["op12_merkle_manifest"](spark, str(tmp_path))
+
+
+ORDER = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+@pytest.mark.parametrize("case", ["odd", "lone", "one lang", "many langs", "eight"])
+def test_manifest(spark, tmp_path, case):
+    rows = {
+        "odd": odd_rows(),
+        "lone": [(3, "A", "en", "a", 1)],
+        "one lang": [(k, f"Text {k}", "en", "a", k) for k in range(73)],
+        "many langs": [(k, f"Text {k}", f"l{k % 70}", "a", k) for k in range(150)],
+        "eight": [(k, None, None, "a", k) for k in range(8)],
+    }[case]
+    extra = {"digest": 1, "tree": 2, "rank": 3, "path": "x"}
+    got = audited(spark, rows, tmp_path, **extra).select(*ORDER).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(manifest_by_hand(rows), key=key)
+
+
+def test_manifest_of_nothing(spark, tmp_path):
+    assert audited(spark, [], tmp_path).count() == 0
+
+
+def test_proofs_of_some_leaves_only(spark):
+    rows = [(k, f"Text {k}", f"l{k % 3}", "a", k) for k in range(300)]
+    values = [F.col(c) for c in merkle_manifest.FIELDS]
+    leaves = frame(spark, rows).select(
+        F.col("lang").alias("group"),
+        F.col("doc_id").alias("id"),
+        F.unhex(merkle_manifest.leaf_hash(values)).alias("digest"),
+    )
+    manifest = merkle_manifest.build(leaves)
+    asked = manifest.leaves.filter("id in (5, 77, 299)").select(
+        "tree", "n", "rank", F.col("id").alias("payload")
+    )
+    found = merkle_manifest.proofs(manifest, asked)
+    fold = merkle_manifest.folded(merkle_manifest.hex_of(F.col("digest")), F.col("path"))
+    got = found.select("payload", fold.alias("f"), merkle_manifest.hex_of(F.col("root")).alias("r"))
+    want = {r[0]: r[3] for r in manifest_by_hand(rows)}
+    assert {r["payload"]: r["f"] for r in got.collect()} == {k: want[k] for k in (5, 77, 299)}
+    assert all(r["f"] == r["r"] for r in got.collect())
+
+
+def test_a_changed_row_is_found(spark, tmp_path):
+    """Only rows whose tampered text differs fail to verify."""
+    rows = [(k, "UPPER" if k % 2 else "lower", "en", "a", k) for k in range(60)]
+    got = {r["doc_id"]: r["verified"] for r in audited(spark, rows, tmp_path).collect()}
+    bad = {k for k in range(60) if k % 2 and zlib.crc32(str(k).encode()) % 3 == 0}
+    assert bad and {k for k, ok in got.items() if not ok} == bad
+
+
+def near(a, b):
+    """Exactly one inserted, deleted or replaced code point."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def variants_by_hand(counts):
+    out = []
+    forms = {}
+    for w, n in counts.items():
+        others = [o for o in counts if near(w, o)]
+        best = min(others, key=lambda o: (-counts[o], o), default=None)
+        wins = best is not None and counts[best] >= 10 * n
+        forms[w] = (best if wins else None, len(others))
+    for w, (form, n_near) in forms.items():
+        root = w
+        while forms[root][0] is not None:
+            root = forms[root][0]
+        out.append((w, form, root, counts[w], n_near, counts[form] if form else None))
+    return out
+
+
+SPELT = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def compare_variants(got, counts):
+    key = lambda r: tuple(str(v) for v in r)
+    rows = sorted(map(tuple, got.select(*SPELT).collect()), key=key)
+    assert rows == sorted(variants_by_hand(counts), key=key)
+
+
+def test_variants_of_a_dense_vocabulary(spark):
+    """Rows of equal letters, ties, chains and letters beyond ASCII: nothing lost, nothing twice."""
+    rng = __import__("random").Random(5)
+    counts = {}
+    for stem in ("aaaaaaaa", "banananaa", "abcdefgh", "éèêëéèêë", "ÿßÀ÷×ööö"):
+        for _ in range(60):
+            word = list(stem)
+            for _ in range(rng.randint(0, 2)):
+                at, how = rng.randrange(len(word)), rng.randrange(3)
+                letter = rng.choice("abnéÿz")
+                word[at : at + 1] = [[letter], [], [word[at], letter]][how]
+            if len(word) >= 7:
+                counts["".join(word)] = rng.choice([2, 2, 3, 20, 30, 300, 4000])
+    for n, word in zip((2, 20, 200, 2000), ("zzzzzzz", "zzzzzzzy", "zzzzzzyy", "zzzzzyyy")):
+        counts[word] = n  # a chain of three steps
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    forms = spelling_groups.with_forms(words.repartition(7))
+    compare_variants(spelling_groups.with_roots(forms), counts)
+
+
+def test_a_group_of_the_whole_alphabet(spark):
+    letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100))]
+    counts = {f"abc{c}defg": 2 + k % 5 for k, c in enumerate(letters)} | {"abcdefg": 50}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    compare_variants(spelling_groups.with_roots(spelling_groups.with_forms(words)), counts)
+
+
+def test_groups_that_span_arrow_batches(spark):
+    """A batch may end inside a group, at its first row, or hold one group alone."""
+    import pyarrow as pa
+
+    rows = [("p1", "a", 5, 1), ("p2", "b", 1, 1), ("p2", "c", 9, 2), ("p2", "d", 9, 0), ("p3", "e", 1, 0)]
+    whole = pa.table(dict(zip(["prefix", "word", "n", "kind"], zip(*rows))))
+    whole = whole.cast(pa.schema([("prefix", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("kind", pa.int32())]))
+    results = []
+    for size in (1, 2, 3, 5):
+        out = spelling_groups.scan_sorted(iter(whole.to_batches(max_chunksize=size)))
+        results.append([r for b in out for r in b.to_pylist()])
+    want = [("b", 1, "c", 9), ("c", 2, "d", 9), ("d", 1, "c", 9)]
+    assert [[tuple(r.values()) for r in result] for result in results] == [want] * 4
+
+
+def test_variants_of_odd_documents(spark, tmp_path):
+    rows = odd_rows()
+    rows += [(400 + k, "Überraschung ÜBERRASCHUNG uberraschung; naïvement_naïvement", "de", "a", 1) for k in range(90)]
+    frame(spark, rows).withColumns({"word": F.lit(1), "n": F.lit("x")}).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    counts = Counter()
+    for row in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", row[1] or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if row[0] is None else row[0]}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += len(run) >= 7
+    counts = {w: n for w, n in counts.items() if n >= 2 and w}
+    got = QUERIES["op13_spelling_variants"](spark, str(tmp_path))
+    some = {r["word"]: r for r in got.collect()}
+    assert {w: r["n"] for w, r in some.items()} == counts
+    # All pairs of the whole vocabulary take too long: check against the most odd words only.
+    for word in sorted(counts, key=lambda w: (w.isascii(), w))[:150]:
+        others = [o for o in counts if near(word, o)]
+        assert some[word]["n_near"] == len(others)
+        best = min(others, key=lambda o: (-counts[o], o), default=None)
+        wins = best is not None and counts[best] >= 10 * counts[word]
+        assert some[word]["form"] == (best if wins else None)
+
+
+def test_variants_of_nothing(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op13_spelling_variants"](spark, str(tmp_path)).count() == 0
+    with pytest.raises(ValueError):
+        spelling_groups.variants(spark.createDataFrame([], "word string"), factor=1)
