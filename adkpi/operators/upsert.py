@@ -77,15 +77,13 @@ def upsert_table(
 
     The source is staged, then only the days are rewritten that hold a source row or a
     row replaced by one. A row may move to another day; a day that loses its last row that
-    way is cleared afterwards. Replacing several days is not atomic: a run that dies between
-    removing a day's old files and moving its new ones into place loses that day's rows that
-    the source does not hold. The remedy is to rebuild the days from the zones, by a merge
-    without ``since`` whose window covers them.
-
-    ``only_changed`` skips source rows equal to what the table holds. ``replace_where``
-    is a condition on the day: rows it selects go unless the source still has their key.
-    ``rows_keep_day`` looks for replaced rows only in the days of the source, instead of
-    matching keys against the whole table; use it where a key can never change its day.
+    way is cleared. All days change in one step, or none (see ``DayTable``).
+
+    Rows to replace are looked for in the days the key index names for the source's keys,
+    and other days are not read. ``only_changed`` skips source rows equal to what the table
+    holds. ``replace_where`` is a condition on the day: rows it selects go unless the source
+    still has their key. ``rows_keep_day`` looks only in the days of the source; use it where
+    a key can never change its day.
     """
     spark = source.sparkSession
     table.ensure(spark)
@@ -93,11 +91,17 @@ def upsert_table(
     source = staged(conform(source, table.schema))
     if check_unique:
         require_unique(source, keys)
-    target = table.read(spark)
 
-    lookup = target
-    if rows_keep_day:
-        lookup = target.filter(in_days(table.day, _days(source.select(table.day))))
+    known = None
+    if rows_keep_day or not table.indexed:
+        lookup = table.read(spark, _days(source.select(table.day)))
+    else:
+        known = table.known_days(spark, source)
+        if known is None:
+            lookup = table.read(spark)
+        else:
+            known = staged(known)
+            lookup = table.read(spark, _days(known.select("day")))
     full_source = source
     if only_changed:
         # Only rows whose key the source holds can tell whether it changed anything.
@@ -107,7 +111,8 @@ def upsert_table(
     replaced = _join(lookup, source, keys, table.null_safe, "left_semi")
     leaving_rows = replaced.select(table.day)
     if replace_where is not None:
-        gone = _without(target.filter(replace_where), full_source, keys, table.null_safe)
+        stored = table.read(spark).filter(replace_where)
+        gone = _without(stored, full_source, keys, table.null_safe)
         leaving_rows = leaving_rows.unionByName(gone.select(table.day))
     arriving = source.select(table.day, F.lit(True).alias("arrives"))
     by_role = arriving.unionByName(leaving_rows.withColumn("arrives", F.lit(False))).distinct()
@@ -118,20 +123,18 @@ def upsert_table(
     if not touched:
         return []
 
-    affected = target.filter(in_days(table.day, touched))
+    affected = table.read(spark, touched)
     remaining = _without(affected, source, keys, table.null_safe)
     if replace_where is not None:
         # Rows the source still has, but unchanged, stay in place.
-        known = _join(
+        held = _join(
             remaining.filter(replace_where), full_source, keys, table.null_safe, "left_semi"
         )
-        remaining = remaining.filter(~replace_where).unionByName(known)
+        remaining = remaining.filter(~replace_where).unionByName(held)
 
-    emptied = leaving - source_days
-    if emptied:
-        emptied -= _days(remaining.filter(in_days(table.day, emptied)).select(table.day))
-    table.overwrite_days(remaining.unionByName(source))
-    table.empty_days(spark, emptied)
+    # A day that is not written again has lost all its rows.
+    new_keys = None if known is None else table.unknown_keys(source, known)
+    table.change_days(remaining.unionByName(source), leaving, new_keys)
     return sorted(touched, key=lambda day: (day is not None, day))
 
 

@@ -29,6 +29,9 @@ class Layout:
     def zone(self, event_type: str) -> str:
         return f"{self.base}/bronze/{event_type}s"
 
+    def zone_map(self, event_type: str) -> str:
+        return f"{self.base}/maps/{event_type}s"
+
     def zone_checkpoint(self, event_type: str) -> str:
         return f"{self.checkpoints}/bronze/{event_type}s"
 

@@ -88,6 +88,37 @@ SILVER = (
     .add("updated_at", T.TimestampType())
 )
 
+_POSITION = (
+    T.StructType()
+    .add("ingest_ts", T.TimestampType())
+    .add("kafka_partition", T.IntegerType())
+    .add("kafka_offset", T.LongType())
+)
+
+# Fields of a copy in the order they are compared by.
+STATE = (
+    T.StructType()
+    .add("event_id", T.StringType())
+    .add("event_date", T.DateType())
+    .add(
+        "impression",
+        T.StructType(
+            [
+                *_POSITION,
+                T.StructField("event_timestamp", T.TimestampType()),
+                T.StructField("cost", T.DoubleType()),
+                T.StructField("campaign", T.IntegerType()),
+                T.StructField("uid", T.StringType()),
+            ]
+        ),
+    )
+    .add("click", T.IntegerType())
+    .add(
+        "conversion",
+        T.StructType([*_POSITION, T.StructField("conversion_delay_sec", T.LongType())]),
+    )
+)
+
 GOLD = (
     T.StructType()
     .add("summary_date", T.DateType())
