@@ -6,10 +6,15 @@ reads whole tables.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adkpi.functions.scalars import clamped_delay
+from adkpi.session import checkpoint_dir
+from adkpi.sources.tables import DayTable
 
 CAMPAIGNS = 20
 
@@ -123,3 +128,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         moment.alias("timestamp"),
         text.cast("binary").alias("value"),
     )
+
+
+_made: dict[tuple[str, str, str], DayTable] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, like: DayTable, rows: Callable[[], DataFrame]
+) -> DayTable:
+    """A copy, for one query to write to, of a table that earlier runs would have left.
+
+    The table itself is written once in an application, below the checkpoint folder; the copy
+    shares its data folders and begins at its only version.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    root = f"{checkpoint_dir(spark)}/adkpi-{name}"
+    if key not in _made:
+        table = DayTable(f"{root}-{uuid.uuid4().hex}", like.schema, like.day, like.keys, like.null_safe)
+        table.overwrite_days(rows())
+        _made[key] = table
+    return _made[key].clone(spark, f"{root}-{uuid.uuid4().hex}")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from adkpi.paths import Layout
 from adkpi.schemas import GOLD, SILVER, STATE
+from adkpi.session import settings
 from adkpi.sources import snapshots
 from adkpi.sources.snapshots import Snapshot
 
@@ -21,6 +22,8 @@ from adkpi.sources.snapshots import Snapshot
 # Fixed value: folder name of the partition that holds rows without a day.
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
+_LISTING_TASKS = 200
+
 # Runs of the key index after which it is written anew from the table.
 KEY_RUNS = 8
 
@@ -100,13 +103,18 @@ class DayTable:
             made_here = "/gen=" in above
             root = above.rpartition("/gen=")[0] if made_here else above
             roots.setdefault((root, made_here), []).append(folder)
-        frames = [
-            spark.read.schema(self.schema)
-            .option("basePath", root)
-            .parquet(*folders)
-            .select(*self.schema.fieldNames())
-            for (root, _), folders in roots.items()
-        ]
+        # Folders are listed in a few hundred tasks at most, many in each.
+        listing = settings(
+            spark, spark__sql__sources__parallelPartitionDiscovery__parallelism=str(_LISTING_TASKS)
+        )
+        with listing:
+            frames = [
+                spark.read.schema(self.schema)
+                .option("basePath", root)
+                .parquet(*folders)
+                .select(*self.schema.fieldNames())
+                for (root, _), folders in roots.items()
+            ]
         if not frames:
             return spark.createDataFrame([], self.schema)
         return reduce(DataFrame.unionByName, frames)
@@ -178,9 +186,16 @@ class DayTable:
 
     def _write(self, df: DataFrame) -> dict[str, str]:
         """New folders with the rows of ``df``, by day; nothing points to them yet."""
+        spark = df.sparkSession
         folder = f"{self.path}/gen={uuid.uuid4().hex}"
-        self._laid_out(df).write.partitionBy(self.day).parquet(folder)
-        names = [n for n in snapshots.children(df.sparkSession, folder) if n.startswith(f"{self.day}=")]
+        # Nothing shows before the version does, so tasks may move their files into place
+        # themselves. A day is whole in its partition; merging partitions would not make fewer
+        # files, only fewer tasks to write them.
+        with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+            self._laid_out(df).write.option(
+                "mapreduce.fileoutputcommitter.algorithm.version", "2"
+            ).partitionBy(self.day).parquet(folder)
+        names = [n for n in snapshots.children(spark, folder) if n.startswith(f"{self.day}=")]
         return {name.partition("=")[2]: f"{folder}/{name}" for name in names}
 
     def _write_keys(self, rows: DataFrame) -> list[str]:
