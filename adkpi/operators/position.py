@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from adkpi.session import staged
 
+# Marks at which the order of timestamps is sketched, and how exact the sketch is.
+_GRID, _ACCURACY = 200, 2000
+
 # monotonically_increasing_id: partition number above, row within the partition below.
 _ROW_BITS = 33
 
@@ -25,14 +29,41 @@ def sorted_by_time(df: DataFrame, *ties: str | Column) -> DataFrame:
 def first_by_time(df: DataFrame, count: int | None, *ties: str | Column) -> DataFrame:
     """The first ``count`` rows; None means all, 0 means none.
 
-    Cut by position at every count, so no task holds more than its range of the order.
+    A first pass over the timestamps alone finds one that at least ``count`` rows do not
+    exceed; only rows up to it are sorted and numbered. Cut by position at every count, so no
+    task holds more than its range of the order, also where many rows share the last timestamp.
     """
     if count is None:
         return sorted_by_time(df, *ties)
-    positioned = with_position(df, ["timestamp", *ties])
+    if count <= 0:
+        return df.limit(0)
+    early = df
+    total, last = _reached(df, count)
+    if last is not None and count < total:
+        # Rows without a timestamp come first in the order.
+        early = df.filter(F.col("timestamp").isNull() | (F.col("timestamp") <= F.lit(last)))
+        # The sort looks at its input twice, which need not be the whole table.
+        early = staged(early)
+    positioned = with_position(early, ["timestamp", *ties])
     return positioned.filter(F.col("position") < count).orderBy("position").drop("position")
 
 
+def _reached(df: DataFrame, count: int) -> tuple[int, int | None]:
+    """Number of rows, and a timestamp that at least ``count`` of them do not exceed."""
+    grid = [k / _GRID for k in range(_GRID + 1)]
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("timestamp").alias("timed"),
+        F.percentile_approx("timestamp", grid, _ACCURACY).alias("marks"),
+    ).first()
+    if not row["timed"]:
+        return row["rows"], None
+    # A mark's true rank is off by one part in ``_ACCURACY`` at most; a step more is spare.
+    share = max(0, count - (row["rows"] - row["timed"])) / row["timed"]
+    step = math.ceil((share + 1 / _ACCURACY) * _GRID) + 1
+    return row["rows"], row["marks"][step] if step <= _GRID else None
+
+
 def with_position(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Add ``position``: 0 for the first row in ``order``, 1 for the next, and so on.
 

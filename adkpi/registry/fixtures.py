@@ -134,12 +134,17 @@ _made: dict[tuple[str, str, str], DayTable] = {}
 
 
 def stored(
-    spark: SparkSession, sf_dir: str, name: str, like: DayTable, rows: Callable[[], DataFrame]
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    like: DayTable,
+    rows: Callable[[], DataFrame],
+    read_only: bool = False,
 ) -> DayTable:
-    """A copy, for one query to write to, of a table that earlier runs would have left.
+    """A table that earlier runs would have left: a copy for one query to write to, or itself.
 
-    The table itself is written once in an application, below the checkpoint folder; the copy
-    shares its data folders and begins at its only version.
+    The table is written once in an application, below the checkpoint folder; a copy shares
+    its data folders and begins at its only version.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     root = f"{checkpoint_dir(spark)}/adkpi-{name}"
@@ -147,4 +152,6 @@ def stored(
         table = DayTable(f"{root}-{uuid.uuid4().hex}", like.schema, like.day, like.keys, like.null_safe)
         table.overwrite_days(rows())
         _made[key] = table
+    if read_only:
+        return _made[key]
     return _made[key].clone(spark, f"{root}-{uuid.uuid4().hex}")

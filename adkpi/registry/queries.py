@@ -102,18 +102,40 @@ def _merge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_days(_silver(spark, sf_dir), MERGE_WINDOW_DAYS, MERGE_AS_OF)
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, like: DayTable, rows) -> DayTable:
-    """A table for one query to write to, laid out by month of its day.
+def _stored(
+    spark: SparkSession, sf_dir: str, name: str, like: DayTable, rows, read_only: bool = False
+) -> DayTable:
+    """A table that earlier runs would have left, laid out by month of its day.
 
     The test tables spread few rows over 2,400 days; as day folders they would be nothing but
     file overhead. Whatever the length of a partition, it is the same code that runs.
     """
     monthly = DayTable("", T.StructType([*like.schema, _MONTH]), "month", like.keys, like.null_safe)
-    return fixtures.stored(spark, sf_dir, name, monthly, lambda: _placed(rows(), like.day))
+    made = lambda: _placed(rows(), like.day)
+    return fixtures.stored(spark, sf_dir, name, monthly, made, read_only)
 
 
 _MONTH = T.StructField("month", T.DateType())
 
+_ZONES = {
+    kind: [
+        T.StructField("event_id", T.StringType()),
+        *fields,
+        T.StructField("ingest_ts", T.TimestampType()),
+        T.StructField("raw_date", T.DateType()),
+    ]
+    for kind, fields in {
+        "impression": [
+            T.StructField("event_timestamp", T.TimestampType()),
+            T.StructField("uid", T.StringType()),
+            T.StructField("campaign", T.IntegerType()),
+            T.StructField("cost", T.DoubleType()),
+        ],
+        "click": [],
+        "conversion": [T.StructField("conversion_delay_sec", T.LongType())],
+    }.items()
+}
+
 
 def _placed(df: DataFrame, day: str) -> DataFrame:
     """With the month a stored table is laid out by, and the clock where it has one."""
@@ -135,8 +157,28 @@ def _early_summary(spark: SparkSession, sf_dir: str) -> DayTable:
 
 def _early_state(spark: SparkSession, sf_dir: str) -> DayTable:
     """Stored state of everything ingested before the day the increment begins."""
-    zones = {k: _before(f, TOUCHED_SINCE) for k, f in fixtures.zones(spark, sf_dir).items()}
-    return _stored(spark, sf_dir, "state", DayTable.state(""), lambda: event_state(event_rows(zones)))
+
+
+    def rows() -> DataFrame:
+        zones = {k: _before(f, TOUCHED_SINCE) for k, f in fixtures.zones(spark, sf_dir).items()}
+        return event_state(event_rows(zones))
+
+    return _stored(spark, sf_dir, "state", DayTable.state(""), rows, read_only=True)
+
+
+def _new_zone_days(spark: SparkSession, sf_dir: str, since: dt.date) -> dict[str, DataFrame]:
+    """Zone rows ingested from ``since`` on, from stored zones, whose other months are not read."""
+    fresh = {}
+    for kind, zone in _ZONES.items():
+        like = DayTable("", T.StructType([*zone, _MONTH]), "month", ("month",))
+        rows = lambda kind=kind: fixtures.zones(spark, sf_dir)[kind].withColumn(
+            "month", F.trunc("raw_date", "month")
+        )
+        table = fixtures.stored(spark, sf_dir, f"zone-{kind}", like, rows, read_only=True)
+        months = [dt.date.fromisoformat(d) for d in table.snapshot(spark).days if d[0].isdigit()]
+        recent = table.read(spark, [m for m in months if m >= since.replace(day=1)])
+        fresh[kind] = recent.filter(F.col("raw_date") >= F.lit(since))
+    return fresh
 
 
 def zone_scan(spark, sf_dir):
@@ -171,9 +213,8 @@ def orphans(spark, sf_dir):
 
 
 def incremental_silver(spark, sf_dir):
-    """New zone days against the stored state; no older zone row is ranked."""
-    zones = fixtures.zones(spark, sf_dir)
-    fresh = {k: z.filter(F.col("raw_date") >= F.lit(TOUCHED_SINCE)) for k, z in zones.items()}
+    """New zone days against the stored state; no older zone row is read or ranked."""
+    fresh = _new_zone_days(spark, sf_dir, TOUCHED_SINCE)
     new = staged(event_state(event_rows(fresh)))
     merged = merged_state(new, stored_state(_early_state(spark, sf_dir), new))
     return silver_rows(merged).select(*SILVER_COLUMNS)

@@ -231,3 +231,18 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("uid,timestamp\nu,1\n")
     with pytest.raises(ValueError, match="campaign"):
         read_normalised_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_first_rows_are_cut_before_they_are_sorted(spark):
+    """Ties at the cut, rows without a timestamp, and every size against a plain sort."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, 5, 5, *range(400)]), k) for k in range(900)]
+    frame = spark.createDataFrame(rows, "timestamp long, k long").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for count in (1, 3, 60, 450, 899, 900, 2000):
+        got = [tuple(r) for r in first_by_time(frame, count, "k").collect()]
+        assert got == ordered[:count], count
+    nothing = spark.createDataFrame([], "timestamp long, k long")
+    assert first_by_time(nothing, 5, "k").count() == 0
+    untimed = spark.createDataFrame([(None, 1), (None, 2)], "timestamp long, k long")
+    assert [r.k for r in first_by_time(untimed, 1, "k").collect()] == [1]
