@@ -97,6 +97,7 @@ def build_parser() -> argparse.ArgumentParser:
     job.add_argument("--skip-quality-check", action="store_true")
     job.add_argument("--exact-percentiles", action="store_true")
     job.add_argument("--delete-missing", action="store_true")
+    job.add_argument("--keep-state", action="store_true", help="mergeable state per day")
     job.add_argument("--days", type=dt.date.fromisoformat, nargs="+", default=None)
     job.add_argument("--check-stored", action="store_true")
     _add_window(job, gold.MERGE_WINDOW_DAYS)
@@ -189,6 +190,7 @@ def _gold(spark, args) -> dict:
         exact_percentiles=args.exact_percentiles,
         only_changed=args.only_changed,
         delete_missing=args.delete_missing,
+        keep_state=args.keep_state,
         days=args.days,
         check_stored=args.check_stored,
         silver=(

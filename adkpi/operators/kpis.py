@@ -105,8 +105,7 @@ def _smallest_reaching(percent: int) -> Column:
 def with_ratios(base: DataFrame) -> DataFrame:
     """Add CTR, CVR, CPA and the late share; only CPA is NULL without a denominator."""
     return base.select(
-        "summary_date",
-        "campaign",
+        *[key for key in KEYS if key in base.columns],
         "impressions",
         "clicks",
         "conversions",

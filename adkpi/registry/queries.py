@@ -24,6 +24,7 @@ from adkpi.operators.explode import (
     split_unusable,
     with_event_ids,
 )
+from adkpi.operators.kpi_state import kpi_state, kpis_of, merged
 from adkpi.operators.kpis import campaign_base, campaign_kpis
 from adkpi.operators.latest import split_rejects
 from adkpi.operators.normalise import normalise, rebase_offset, timestamp_range
@@ -267,6 +268,14 @@ def delay_distribution(spark, sf_dir):
     )
 
 
+def campaign_totals(spark, sf_dir):
+    """KPIs per campaign over all days, merged from the state of each day."""
+    days = kpi_state(_silver(spark, sf_dir))
+    totals = kpis_of(merged(days, ["campaign"]))
+    # Cents: sums over so many rows differ in later digits with their order.
+    return _rounded(totals.withColumns({c: F.round(c, 2) for c in ("total_cost", "cpa")}))
+
+
 def quality_violations(spark, sf_dir):
     """Violations per rule, for silver with and without view-through conversions."""
     counts = [
@@ -470,6 +479,7 @@ QUERIES: dict[str, Query] = {
     "campaign_kpis_view_through": campaign_daily_kpis_view_through,
     "late_conversions": late_conversions,
     "delay_distribution": delay_distribution,
+    "campaign_totals": campaign_totals,
     "quality_violations": quality_violations,
     "silver_upsert": silver_upsert,
     "silver_changed_rows": silver_changed_rows,

@@ -138,6 +138,19 @@ GOLD = (
     .add("updated_at", T.TimestampType())
 )
 
+KPI_STATE = (
+    T.StructType()
+    .add("summary_date", T.DateType())
+    .add("campaign", T.IntegerType())
+    .add("impressions", T.LongType())
+    .add("clicks", T.LongType())
+    .add("conversions", T.LongType())
+    .add("total_cost", T.DoubleType())
+    .add("late_conversion_count", T.LongType())
+    .add("delay_sum", T.DoubleType())
+    .add("delays", T.BinaryType())
+)
+
 CATEGORY_COLUMNS = [f"cat{i}" for i in range(1, 10)]
 
 

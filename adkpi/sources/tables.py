@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adkpi.paths import Layout
-from adkpi.schemas import GOLD, SILVER, STATE
+from adkpi.schemas import GOLD, KPI_STATE, SILVER, STATE
 from adkpi.session import settings
 from adkpi.sources import snapshots
 from adkpi.sources.snapshots import Snapshot
@@ -61,6 +61,12 @@ class DayTable:
         """What a silver table was made from, per id; rows without a day include the orphans."""
         return cls(f"{silver_path}_state", STATE, "event_date", ("event_id",))
 
+    @classmethod
+    def kpi_state(cls, gold_path: str):
+        """Mergeable state beside a summary (see ``operators.kpi_state``)."""
+        keys = ("summary_date", "campaign")
+        return cls(f"{gold_path}_state", KPI_STATE, "summary_date", keys, null_safe=True)
+
     @classmethod
     def gold(
         cls, layout: Layout, table: str = "campaign_daily_summary", database: str | None = None
