@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adkpi.functions.scalars import clamped_delay, iso_time, seeded_delay, text_or_blank
 from adkpi.operators.position import with_position
-from adkpi.schemas import event_schema, topic_for
+from adkpi.schemas import TOPICS, event_schema
 
 # Seed and longest made-up click delay in seconds.
 CLICK_SEED = 42
@@ -50,52 +50,61 @@ def split_unusable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def impression_events(records: DataFrame) -> DataFrame:
-    return _event(records, "impression", F.col("timestamp"))
+    return _events(records, "impression")
 
 
 def click_events(records: DataFrame, seed: int = CLICK_SEED) -> DataFrame:
     """A click follows its impression by a repeatable 1 to 30 seconds."""
-    wait = seeded_delay(F.col("event_id"), seed, LONGEST_CLICK_DELAY_SEC)
-    return _event(records.filter(F.col("click") != 0), "click", F.col("timestamp") + wait)
+    return _events(records, "click", seed)
 
 
 def conversion_events(records: DataFrame) -> DataFrame:
     """Needs the flag and a timestamp; the delay is never negative."""
-    converted = (F.col("conversion") != 0) & F.col("conversion_timestamp").isNotNull()
-    delay = clamped_delay(F.col("conversion_timestamp"), F.col("timestamp"))
-    return _event(
-        records.filter(converted).withColumn("conversion_delay_sec", delay),
-        "conversion",
-        F.col("conversion_timestamp"),
-    )
+    return _events(records, "conversion")
 
 
-def explode_events(records: DataFrame) -> dict[str, DataFrame]:
-    """The three event frames of records that carry ids and typed columns."""
-    return {
-        "impression": impression_events(records),
-        "click": click_events(records),
-        "conversion": conversion_events(records),
-    }
+def event_payloads(records: DataFrame, seed: int = CLICK_SEED) -> DataFrame:
+    """Message rows of all kinds: key is the user (none if blank), value the event as JSON text.
 
-
-def event_payloads(events: DataFrame, event_type: str, topic: str | None = None) -> DataFrame:
-    """Message rows: key is the user (none if blank), value the event as JSON text."""
-    fields = event_schema(event_type).fieldNames()
-    return events.select(
-        F.when(F.col("uid") != "", F.col("uid")).alias("key"),
-        F.to_json(F.struct(*fields)).alias("value"),
-        F.lit(topic_for(event_type, topic)).alias("topic"),
-    )
+    Every record carries an array of its messages, which is unfolded once, so the records are
+    read once for all topics.
+    """
+    made = []
+    for event_type, topic in TOPICS.items():
+        value = F.to_json(F.struct(*_columns(event_type, seed)))
+        message = F.struct(value.alias("value"), F.lit(topic).alias("topic"))
+        made.append(F.when(_happened(event_type), message))
+    unfolded = records.select("uid", F.explode(F.array_compact(F.array(*made))).alias("message"))
+    key = F.when(F.col("uid") != "", F.col("uid")).alias("key")
+    return unfolded.select(key, "message.value", "message.topic")
 
 
-def _event(records: DataFrame, event_type: str, moment: Column) -> DataFrame:
+def _happened(event_type: str) -> Column:
+    return {
+        "impression": F.lit(True),
+        "click": F.col("click") != 0,
+        "conversion": (F.col("conversion") != 0) & F.col("conversion_timestamp").isNotNull(),
+    }[event_type]
+
+
+def _columns(event_type: str, seed: int) -> list[Column]:
+    """The fields of one event, from a record that carries its id and typed columns."""
+    moment = {
+        "impression": F.col("timestamp"),
+        "click": F.col("timestamp")
+        + seeded_delay(F.col("event_id"), seed, LONGEST_CLICK_DELAY_SEC),
+        "conversion": F.col("conversion_timestamp"),
+    }[event_type]
     values = {
         "event_type": F.lit(event_type),
         "timestamp": moment,
         "event_time": iso_time(moment),
         "impression_timestamp": F.col("timestamp"),
+        "conversion_delay_sec": clamped_delay(F.col("conversion_timestamp"), F.col("timestamp")),
     }
-    return records.select(
-        *[values.get(f.name, F.col(f.name)).alias(f.name) for f in event_schema(event_type)]
-    )
+    names = event_schema(event_type).fieldNames()
+    return [values.get(name, F.col(name)).alias(name) for name in names]
+
+
+def _events(records: DataFrame, event_type: str, seed: int = CLICK_SEED) -> DataFrame:
+    return records.filter(_happened(event_type)).select(*_columns(event_type, seed))

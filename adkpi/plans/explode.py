@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from adkpi.operators.explode import event_payloads, explode_events, split_unusable, with_event_ids
+from adkpi.operators.explode import event_payloads, split_unusable, with_event_ids
 from adkpi.operators.position import first_by_time
+from adkpi.schemas import TOPICS
 from adkpi.session import in_utc
 from adkpi.sources.delimited import ROW_ID, read_normalised_csv
 
@@ -23,11 +24,7 @@ def messages(
     ties = [*[c for c in records.columns if c != "timestamp"], ROW_ID]
     chosen = numbered if limit is None else first_by_time(numbered, limit, *ties)
     usable, unusable = split_unusable(with_event_ids(chosen, ["timestamp", *ties], source_label))
-    rows = None
-    for event_type, events in explode_events(usable).items():
-        payloads = event_payloads(events, event_type)
-        rows = payloads if rows is None else rows.unionByName(payloads)
-    return rows, unusable.select(*records.columns)
+    return event_payloads(usable), unusable.select(*records.columns)
 
 
 @in_utc
@@ -47,12 +44,17 @@ def run(
     if source_label is None:
         source_label = hashlib.md5(source.rstrip("/").encode()).hexdigest()[:8]
     rows, unusable = messages(read_normalised_csv(spark, source), limit, source_label)
+    # Counted by the writes themselves; what is written is not read again.
+    sent, left = Observation("messages"), Observation("rejects")
+    by_topic = [F.count_if(F.col("topic") == name).alias(name) for name in TOPICS.values()]
+    rows = rows.observe(sent, *by_topic)
+    unusable = unusable.observe(left, F.count(F.lit(1)).alias("rows"))
     if servers:
         rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
     else:
         rows.write.mode("append").parquet(f"{out}/messages")
     unusable.write.mode("append").parquet(f"{out}/rejects")
     return {
-        "messages": {row["topic"]: row["count"] for row in rows.groupBy("topic").count().collect()},
-        "rejects": unusable.count(),
+        "messages": {topic: n for topic, n in sent.get.items() if n},
+        "rejects": left.get["rows"],
     }

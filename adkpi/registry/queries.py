@@ -457,13 +457,7 @@ def conversion_delay(spark, sf_dir):
 
 
 def payloads(spark, sf_dir):
-    records = _event_records(spark, sf_dir)
-    parts = [
-        event_payloads(impression_events(records), "impression"),
-        event_payloads(click_events(records), "click"),
-        event_payloads(conversion_events(records), "conversion"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return event_payloads(_event_records(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
