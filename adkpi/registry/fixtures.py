@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adkpi.functions.scalars import clamped_delay
+from adkpi.schemas import event_schema
 from adkpi.session import checkpoint_dir
 from adkpi.sources.tables import DayTable
 
@@ -107,21 +108,27 @@ def combined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``events`` as an impression message, positions as a broker gives them."""
+def messages(spark: SparkSession, sf_dir: str, kind: str = "impression") -> DataFrame:
+    """Every row of ``events`` as a message of one kind, positions as a broker gives them.
+
+    Clicks and conversions tell of an impression as many seconds ago as their user's number.
+    """
     rows = table(spark, sf_dir, "events")
     moment = F.col("ts").cast("timestamp")
-    payload = F.struct(
-        F.col("event_id").cast("string").alias("event_id"),
-        F.lit("impression").alias("event_type"),
-        F.unix_timestamp(moment).alias("timestamp"),
-        F.col("user_id").cast("string").alias("uid"),
-        (F.get_json_object("props", "$.k").cast("bigint") % CAMPAIGNS).alias("campaign"),
-        F.col("value").alias("cost"),
-    )
+    fields = {
+        "event_id": F.col("event_id").cast("string"),
+        "event_type": F.lit(kind),
+        "timestamp": F.unix_timestamp(moment),
+        "impression_timestamp": F.unix_timestamp(moment) - F.col("user_id"),
+        "uid": F.col("user_id").cast("string"),
+        "campaign": F.get_json_object("props", "$.k").cast("bigint") % CAMPAIGNS,
+        "cost": F.col("value"),
+        "conversion_delay_sec": F.col("user_id").cast("bigint"),
+    }
+    named = [fields[f].alias(f) for f in event_schema(kind).fieldNames() if f in fields]
     # Error events stand for text that is no JSON.
     broken = F.concat(F.lit("broken "), F.col("event_id").cast("string"))
-    text = F.when(F.col("event_type") == "error", broken).otherwise(F.to_json(payload))
+    text = F.when(F.col("event_type") == "error", broken).otherwise(F.to_json(F.struct(*named)))
     return rows.select(
         F.lit(0).alias("partition"),
         F.col("event_id").alias("offset"),

@@ -188,7 +188,37 @@ merged AS (
   SELECT * FROM early WHERE event_id NOT IN (SELECT event_id FROM source)
 )"""
 
+
+
+def _parsed(kind: str, more: str = "") -> str:
+    """Messages of one kind, read back: what is no JSON has its text and nothing else."""
+    good = "CASE WHEN NOT bad THEN {} END AS {}".format
+    fields = [
+        good("CAST(event_id AS VARCHAR)", "event_id"),
+        good(f"'{kind}'", "event_type"),
+        good("CAST(floor(epoch(ts)) AS BIGINT)", '"timestamp"'),
+        "CAST(NULL AS VARCHAR) AS event_time",
+        good("CAST(floor(epoch(ts)) AS BIGINT) - user_id", "impression_timestamp"),
+        good("CAST(user_id AS VARCHAR)", "uid"),
+        good(
+            "CAST(CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) % 20 AS INTEGER)",
+            "campaign",
+        ),
+        good("CAST(ts AS DATE)", "event_date"),
+    ]
+    return f"""WITH m AS (SELECT *, event_type = 'error' AS bad FROM events)
+SELECT event_id AS kafka_offset, {", ".join(fields)}{more},
+       CASE WHEN bad THEN 'broken ' || CAST(event_id AS VARCHAR) END AS raw_value,
+       bad AS is_malformed, CAST(ts AS DATE) AS raw_date, CAST(hour(ts) AS INTEGER) AS raw_hour
+FROM m"""
+
+
 ORACLE: dict[str, str] = {
+    "bronze_parse_clicks": _parsed("click"),
+    "bronze_parse_conversions": _parsed(
+        "conversion",
+        ", CASE WHEN NOT bad THEN CAST(user_id AS BIGINT) END AS conversion_delay_sec",
+    ),
     "zone_scan": f"""WITH {CLEAN}
 SELECT 'impression' AS zone, event_id, CAST(ingest_ts AS DATE) AS raw_date FROM imp_zone
 UNION ALL SELECT 'click', event_id, CAST(ingest_ts AS DATE) FROM clk_zone

@@ -359,6 +359,21 @@ def bronze_parse(spark, sf_dir):
     )
 
 
+def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    messages = fixtures.messages(spark, sf_dir, kind)
+    parsed = parse_messages(messages, kind, F.col("kafka_timestamp"))
+    dated = parsed.withColumn("event_date", F.to_date("event_timestamp"))
+    return dated.drop("kafka_partition", "kafka_timestamp", "event_timestamp", "ingest_ts")
+
+
+def bronze_parse_clicks(spark, sf_dir):
+    return _parsed(spark, sf_dir, "click")
+
+
+def bronze_parse_conversions(spark, sf_dir):
+    return _parsed(spark, sf_dir, "conversion")
+
+
 def rejected_messages(spark, sf_dir):
     """Messages without an event id: stored in the raw zone, never joined."""
     parsed = parse_messages(
@@ -481,6 +496,8 @@ QUERIES: dict[str, Query] = {
     "partition_overwrite": partition_overwrite,
     "late_correction": late_correction,
     "bronze_parse": bronze_parse,
+    "bronze_parse_clicks": bronze_parse_clicks,
+    "bronze_parse_conversions": bronze_parse_conversions,
     "rejected_messages": rejected_messages,
     "normalise_events": normalise_events,
     "rebase_timestamps": rebase_timestamps,
