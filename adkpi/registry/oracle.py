@@ -258,11 +258,11 @@ SELECT summary_date, campaign,
     "campaign_totals": f"""{SILVER}, by_campaign AS (SELECT * REPLACE (NULL AS event_date) FROM silver),
 {_kpis('kpis', 'by_campaign')}
 SELECT campaign, impressions, clicks, conversions, round(total_cost, 2) AS total_cost,
-       round(ctr, 6) AS ctr, round(cvr, 6) AS cvr, round(cpa, 2) AS cpa, late_conversion_count,
-       round(late_conversion_ratio, 6) AS late_conversion_ratio,
-       round(avg_conversion_delay_sec, 6) AS avg_conversion_delay_sec,
-       round(p50_conversion_delay_sec, 6) AS p50_conversion_delay_sec,
-       round(p95_conversion_delay_sec, 6) AS p95_conversion_delay_sec FROM kpis""",
+       round(ctr, 4) AS ctr, round(cvr, 4) AS cvr, round(cpa, 4) AS cpa, late_conversion_count,
+       round(late_conversion_ratio, 4) AS late_conversion_ratio,
+       round(avg_conversion_delay_sec, 4) AS avg_conversion_delay_sec,
+       round(p50_conversion_delay_sec, 4) AS p50_conversion_delay_sec,
+       round(p95_conversion_delay_sec, 4) AS p95_conversion_delay_sec FROM kpis""",
     "quality_violations": f"""WITH {CLEAN}, {_silver('clean')}, {_kpis('clean_kpis', 'clean')},
 vt_clk AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS event_id
            FROM lineitem WHERE l_returnflag = 'N'),
