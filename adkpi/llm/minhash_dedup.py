@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adkpi.llm.aside import passing_aside
 from adkpi.llm.components import components
 from adkpi.llm.links import SHORT_LIST, different_lists, linked_pairs, list_marks
 from adkpi.llm.shipping import ship
@@ -226,6 +227,7 @@ def near_duplicates(
     return joined.select("id", "key", F.col("n").alias("n_shingles"), "component")
 
 
+@passing_aside
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id; same columns."""
     gone = near_duplicates(docs, **options).filter("component <> id")

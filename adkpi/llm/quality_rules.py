@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adkpi.llm.aside import passing_aside
+
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -100,6 +102,7 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
 
 
+@passing_aside
 def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add counts, verdicts and ``clean_text`` to every row of ``docs``."""
     value = F.coalesce(F.col(text), F.lit(""))

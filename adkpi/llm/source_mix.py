@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adkpi.llm.aside import passing_aside
 from adkpi.operators.position import with_position
 from adkpi.session import staged
 
@@ -91,6 +92,7 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     )
 
 
+@passing_aside
 def mix_sources(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (0 times: gone)."""
     sizes = docs.select("source", count_words(F.col("text")).alias("size"))

@@ -20,6 +20,7 @@ from adkpi.llm.text import buffers, ragged, range_hashes
 
 _CACHED_PIECES = 400_000
 _SLOTS = 1 << 21
+_PIECES_AT_ONCE = _SLOTS // 4  # a longer text is encoded in parts
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 
 
@@ -184,12 +185,10 @@ class Encoder:
             self._number[slot] = first + placed
             waiting = np.setdiff1d(waiting, placed, assume_unique=True)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the number of ids of each; NULL is empty text."""
-        raw, offsets = buffers(texts)
-        low, start, end, owner, strange = cut(raw, offsets)
-        if not len(start) and not strange.any():
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    def _encode_pieces(
+        self, low: np.ndarray, start: np.ndarray, end: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and the number of ids of each."""
         keys = range_hashes(low, start, end)
         which = self._find(keys)[0]
         unknown = np.flatnonzero(which < 0)
@@ -199,13 +198,24 @@ class Encoder:
             if self._pieces + len(new) > max(_CACHED_PIECES, len(new)):
                 self._forget()
                 new, at = np.unique(keys, return_index=True)
-            if len(new) > _SLOTS // 2:
-                raise ValueError("cut the batch into smaller parts")
             data = low.tobytes()
             self._learn(new, [data[i:j].decode() for i, j in zip(start[at], end[at])])
             which = self._find(keys)[0]
         lengths = self._length[which]
-        ids = self._ids[ragged(self._start[which], lengths)]
+        return self._ids[ragged(self._start[which], lengths)], lengths
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of ids of each; NULL is empty text."""
+        raw, offsets = buffers(texts)
+        low, start, end, owner, strange = cut(raw, offsets)
+        if not len(start) and not strange.any():
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        found = [
+            self._encode_pieces(low, start[at : at + _PIECES_AT_ONCE], end[at : at + _PIECES_AT_ONCE])
+            for at in range(0, len(start), _PIECES_AT_ONCE)
+        ]
+        none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, lengths = (np.concatenate(parts) for parts in zip(*(found or [none])))
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64)
         if strange.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])

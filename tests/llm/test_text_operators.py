@@ -8,8 +8,10 @@ import pyarrow as pa
 import pytest
 from compare import assert_same, connect
 from fixtures_llm import SCHEMA, WORD, as_counter, documents, frame, groups, prose
+from pyspark.sql import functions as F
 
 from adkpi.llm import license_scan, line_dedup, packing, quality_rules, source_mix, token_codec
+from adkpi.llm.minhash_dedup import deduplicate
 from adkpi.llm.queries import ORACLE, QUERIES
 from adkpi.llm.tokens import default_vocabulary, encoder
 
@@ -34,6 +36,16 @@ def test_encoder_equals_the_library():
     assert [p.tolist() for p in parts] == [expected_ids(t, 0)[:-1] for t in texts]
 
 
+def test_a_text_of_very_many_pieces():
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(1_100_000)]
+    tool = encoder(default_vocabulary())
+    ids, counts = tool.encode(pa.array([" ".join(words), "one two"]))
+    parts = [" ".join(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    near, sizes = tool.encode(pa.array(parts))
+    assert counts[0] == sizes.sum() and counts[1] == 2
+    assert (ids[: counts[0]] == near).all()
+
+
 def test_quality_rules(spark):
     rows = {r["doc_id"]: r for r in quality_rules.apply_rules(frame(spark)).collect()}
     assert (rows[4]["n_words"], rows[4]["base_failed"], rows[4]["kept"]) == (0, True, False)
@@ -43,8 +55,27 @@ def test_quality_rules(spark):
     assert rows[10]["n_repeat_words"] == rows[10]["n_words"] and not rows[10]["kept"]
     assert not rows[16]["kept"] and rows[13]["kept"]
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
-    clash = frame(spark).withColumnRenamed("lang", "__words").withColumnRenamed("source", "kept")
-    assert quality_rules.apply_rules(clash.drop("__words")).count() == len(documents())
+    clash = frame(spark).withColumnRenamed("source", "kept")
+    assert quality_rules.apply_rules(clash).count() == len(documents())
+
+
+HELPERS = (
+    "__words __lines __bad __worded __at __rate __source __copy __gone __key __id __removed __left "
+    "__text __figures __score __n passing_0"
+).split()
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [quality_rules.apply_rules, source_mix.mix_sources, deduplicate, line_dedup.deduplicate_lines],
+    ids=lambda f: f.__name__,
+)
+def test_names_of_helper_columns_pass(spark, operator):
+    docs = frame(spark, [r for r in documents() if r[0] is not None][:9])
+    clash = docs.select("*", *(F.lit(name).alias(name) for name in HELPERS))
+    rows = operator(clash).collect()
+    assert rows and all(r[name] == name for r in rows for name in HELPERS)
+    assert len(rows) == operator(docs).count()
 
 
 def test_source_mix(spark):
