@@ -1,18 +1,29 @@
-r"""License scan: shared shingles retrieve templates, exact containment decides.
+r"""License scan: MinHash bands over overlapping windows retrieve templates, containment decides.
 
-Built-in functions only. Words are lower-cased and lose punctuation; a shingle is five words. The
-shingles of all templates are a table (shingle, template) that every document's shingles are
-joined with, broadcast up to ``BROADCAST`` rows and shuffled beyond, so full license texts fit
-and no document with a shingle of a template is missed.
+Built-in functions only. Words are lower-cased and lose punctuation and the signs that open or
+frame comment lines, so a notice wrapped in ``#``, ``//``, ``*``, ``--``, ``;``, ``%`` or ``<!--``
+reads like plain text. A shingle is five words, a window six: two shingles. Windows begin at
+every other word, so each overlaps the next one in four words and every shingle lies in a window.
 
-What met is then compared exactly: a document matches a template if some stretch of
-``1.25 * m`` (rounded up) consecutive shingles holds at least 80 % of the template's ``m``
-distinct shingles. Only shingles that stand in a template are shuffled, by document and template.
+A window has ``BANDS`` bands of one MinHash value, under an order of the hashes and under its
+reverse. A template's windows are its single shingles, so that one shingle in common is enough.
+That setting is the cheapest one with a certain collision: of a document window's two shingles
+one comes first in an order and the other one in its reverse, so both meet the template's
+windows, with probability 1, where two independent orders would lose a shingle with 1/4. (Windows
+of ``s`` shingles under ``k`` orders and their reverses post ``2k / s`` values a word and lose a
+lone shingle with ``(1 - 2 / s) ** k``: two shingles post one value a word and lose none.)
+
+The band values of all templates are a table (value, template) that the documents' band values
+are joined with, broadcast up to ``BROADCAST`` rows and shuffled beyond, so full license texts
+fit. The windows that met a template are then compared exactly: a document matches if some
+stretch of ``1.25 * m`` (rounded up) consecutive shingles holds at least 80 % of the template's
+``m`` distinct shingles. Only shingles that stand in a template are shuffled, by document and
+template.
 
 Defined results: a template of fewer than five words (an SPDX line) is one shingle, its whole
-sequence, and is looked for at every word; the SQL twin leaves such templates out. Templates
-without a word match nothing, nor do NULL or empty texts. Repeated templates match under each of
-their names. NULL or repeated document ids are scanned row by row.
+sequence, in a window of its own, and is looked for at every word. Templates without a word
+match nothing, nor do NULL or empty texts. Repeated templates match under each of their names.
+NULL or repeated document ids are scanned row by row.
 """
 
 from __future__ import annotations
@@ -23,12 +34,15 @@ from pyspark.sql import functions as F
 from adkpi.session import staged
 
 SHINGLE = 5
+WINDOW = 2  # shingles of a document's window
 PERCENT = 80
 BROADCAST = 300_000
 _FIRST_WORDS = 1_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_MARKS = ".,;:!?()[]\""
+_MARKS = ".,;:!?()[]\"#*/%<>|=-"  # what frames comments goes like other punctuation
+_ORDERS = (0x2545F4914F6CDD1D, ~0x2545F4914F6CDD1D)  # an order of hashes, and its reverse
+BANDS = len(_ORDERS)
 _GAP = r"[\x20\x09-\x0D]+"
 
 # Short public notices, distinctive passages of public licenses, SPDX lines.
@@ -95,26 +109,47 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, _GAP), lambda w: w != "")
 
 
-def _hash(words: Column, first: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(first, *(F.get(words, i + k) for k in range(1, size)))
+def _hash(words: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(words, i + k) for k in range(size)))
+
+
+def _windows(words: Column, shingles: int) -> Column:
+    """Windows of one or two ``shingles``, end to end: where each begins and its hashes."""
+    last = F.size(words) - SHINGLE
+
+    def window(i: Column) -> Column:
+        second = F.when((i < last) & F.lit(shingles > 1), _hash(words, i + 1, SHINGLE))
+        return F.struct(i.alias("i"), _hash(words, i, SHINGLE).alias("a"), second.alias("b"))
 
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(shingles)))
+    return F.coalesce(F.transform(starts, window), F.array().cast(_WINDOWS))
 
-def _shingles(words: Column, size: int = SHINGLE) -> Column:
-    starts = F.slice(words, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: _hash(words, w, i, size))
 
+_WINDOWS = "array<struct<i: int, a: bigint, b: bigint>>"
 
-def _brief(words: Column, size: int, first: list[str]) -> Column:
-    """``h, i`` of the shingles of ``size`` words that begin with one of ``first``, or of all."""
+
+def _brief(words: Column, size: int, first: list[str] | None = None) -> Column:
+    """Windows of one shingle of ``size`` words, of those that begin with one of ``first``."""
     at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     last = F.size(words) - size
-    few = len(first) <= _FIRST_WORDS
-    met = F.filter(at, lambda e: (e["w"].isin(first) if few else F.lit(True)) & (e["i"] <= last))
+    met = F.filter(at, lambda e: e["i"] <= last)
+    if first is not None:
+        met = F.filter(at, lambda e: e["w"].isin(first) & (e["i"] <= last))
+    none = F.lit(None).cast("bigint")
     return F.transform(
-        met, lambda e: F.struct(_hash(words, e["w"], e["i"], size).alias("h"), e["i"].alias("i"))
+        met,
+        lambda e: F.struct(
+            e["i"].alias("i"), _hash(words, e["i"], size).alias("a"), none.alias("b")
+        ),
     )
 
 
+def _bands(first: Column, second: Column) -> Column:
+    """MinHash value of each band; least() skips a second shingle that is missing."""
+    ordered = (F.least(first.bitwiseXOR(o), second.bitwiseXOR(o)) for o in map(F.lit, _ORDERS))
+    return F.array(*ordered)
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """``doc_id, license, containment, first_word`` for every match.
 
@@ -123,36 +158,46 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     templates = default_templates(spark) if templates is None else templates
+    words = F.col("_words")
     cut = templates.select(
         "license", F.monotonically_increasing_id().alias("_t"), _words(F.col("text")).alias("_words")
     )
-    own = F.when(F.size("_words") >= SHINGLE, _shingles(F.col("_words")))
+    every = F.when(F.size(words) >= SHINGLE, _windows(words, 1))
     for size in range(1, SHINGLE):
-        own = own.when(F.size("_words") == size, _shingles(F.col("_words"), size))
-    cut = staged(cut.select("license", "_t", F.array_distinct(own).alias("_own"), "_words"))
-    index = cut.select("license", "_t", F.size("_own").alias("_m"), F.explode("_own").alias("h"))
-    if index.count() <= BROADCAST:
-        index = F.broadcast(index)
+        # A brief template is one window of one shingle, itself.
+        every = every.when(F.size(words) == size, _brief(words, size))
+    cut = staged(cut.select("license", "_t", "_words", every.alias("_every")))
+    own = cut.select("license", "_t", F.array_distinct("_every.a").alias("_own"))
+    own = own.select("license", "_t", F.size("_own").alias("_m"), F.explode("_own").alias("h"))
+    none = F.lit(None).cast("bigint")
+    index = own.select("*", F.explode(_bands(F.col("h"), none)).alias("band"))
     brief = cut.filter(F.size("_words").between(1, SHINGLE - 1))
     brief = brief.select(F.size("_words").alias("n"), F.get("_words", F.lit(0)).alias("w")).distinct()
-    first: dict[int, list[str]] = {}
+    first: dict[int, list[str] | None] = {}
     for r in brief.limit((SHINGLE - 1) * (_FIRST_WORDS + 1)).collect():
         first.setdefault(r["n"], []).append(r["w"])
     if sum(map(len, first.values())) > _FIRST_WORDS:
-        first = {n: [""] * (_FIRST_WORDS + 1) for n in range(1, SHINGLE)}
-    hashed = docs.select(
+        first = dict.fromkeys(range(1, SHINGLE))  # too many to name: every word may begin one
+    if index.count() <= BROADCAST:
+        index = F.broadcast(index)
+    cut_docs = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("_row"), _words(F.col("text")).alias("_words")
     )
-    found = hashed.select("doc_id", "_row", F.posexplode(_shingles(F.col("_words"))).alias("i", "h"))
-    met = found.join(index, "h")
-    if first:
-        short = F.concat(*(_brief(F.col("_words"), n, w) for n, w in sorted(first.items())))
-        short = hashed.select("doc_id", "_row", F.explode(short).alias("_e"))
-        short = short.select("doc_id", "_row", F.col("_e.i").alias("i"), F.col("_e.h").alias("h"))
-        met = met.unionByName(short.join(index, "h"))
-    hit = F.struct(F.col("i"), F.col("h"))
+    windows = [_windows(words, WINDOW), *(_brief(words, n, w) for n, w in sorted(first.items()))]
+    row = ["doc_id", "_row"]
+    placed = cut_docs.select(*row, F.explode(F.concat(*windows)).alias("w"))
+    banded = placed.select(*row, "w", F.explode(_bands(F.col("w.a"), F.col("w.b"))).alias("band"))
+    retrieved = banded.join(index, "band")
+    # Which of a retrieved window's shingles is the template's.
+    both = F.array(
+        F.struct(F.col("w.i").alias("i"), F.col("w.a").alias("h")),
+        F.struct((F.col("w.i") + 1).alias("i"), F.col("w.b").alias("h")),
+    )
+    met = retrieved.select(
+        *row, "_t", "license", "_m", F.explode(F.filter(both, lambda x: x["h"] == F.col("h"))).alias("hit")
+    )
     met = met.groupBy("_row", "doc_id", "_t", "license", "_m").agg(
-        F.sort_array(F.collect_list(hit)).alias("_hits")
+        F.sort_array(F.collect_set("hit")).alias("_hits")
     )
     reach = F.ceil(F.col("_m") * 1.25)
     held = F.transform(
@@ -192,17 +237,22 @@ _SQL_WORDS = (
     f"'{_UPPER}{_MARKS}', '{_UPPER.lower()}'), '{_GAP}'), lambda w: w <> '')"
 )
 _SQL_SHINGLES = """
-  SELECT {key}, place, words[place + 1:place + 5] AS shingle
-  FROM (SELECT {key}, words, unnest(range(0, len(words) - 4)) AS place FROM {table} WHERE len(words) >= 5)
+  SELECT {key}, place, words[place + 1:place + n] AS shingle
+  FROM (SELECT {key}, words, n, unnest(range(0, len(words) - n + 1)) AS place
+    FROM {table} WHERE len(words) >= n)
 """
 
 ORACLE = f"""
 WITH templates(license, text) AS (VALUES
   {", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))}),
-cut AS (SELECT license, {_SQL_WORDS} AS words FROM templates),
+cut AS (
+  SELECT *, least(len(words), {SHINGLE}) AS n
+  FROM (SELECT license, {_SQL_WORDS} AS words FROM templates) WHERE len(words) > 0),
 owned AS (SELECT DISTINCT license, shingle FROM ({_SQL_SHINGLES.format(key="license", table="cut")})),
 sized AS (SELECT license, count(*) AS m FROM owned GROUP BY license),
-docs AS (SELECT doc_id, {_SQL_WORDS} AS words FROM documents),
+docs AS (
+  SELECT doc_id, words, n FROM (SELECT doc_id, {_SQL_WORDS} AS words FROM documents),
+    (SELECT DISTINCT n FROM cut)),
 grams AS ({_SQL_SHINGLES.format(key="doc_id", table="docs")}),
 hits AS (SELECT doc_id, license, place, shingle, m FROM grams JOIN owned USING (shingle)
   JOIN sized USING (license)),

@@ -334,6 +334,66 @@ def test_license_notices_and_brief_templates(spark):
     assert [mine[k] for k in mine] == [names for _, names in texts]
 
 
+COMMENTS = [("# ", ""), (" * ", " */"), ("// ", ""), ("-- ", ""), (";; ", ""), ("<!-- ", " -->")]
+
+
+@pytest.mark.parametrize("opens, closes", COMMENTS)
+def test_license_notices_in_comments(spark, opens, closes):
+    """Notices wrapped at a few words, each line in a comment."""
+    texts = sorted(license_scan.TEMPLATES.items())
+    docs = []
+    for k, (_, text) in enumerate(texts):
+        words = text.split(" ")
+        lines = [" ".join(words[at : at + 4]) for at in range(0, len(words), 4)]
+        docs.append((k, "\n".join(f"{opens}{x}{closes}" for x in lines), "en", "a", 0))
+    found = {(r["doc_id"], r["license"]) for r in license_scan.scan(frame(spark, docs)).collect()}
+    assert {(k, name) for k, (name, _) in enumerate(texts)} <= found
+
+
+def by_hand(text, templates):
+    """``license, containment, first word`` by counting every stretch."""
+
+    def cut(value):
+        for mark in license_scan._MARKS:
+            value = value.replace(mark, "")
+        return WORD.findall(value.translate({i: i + 32 for i in range(65, 91)}))
+
+    words = cut(text or "")
+    for name, template in templates:
+        own = cut(template)
+        n = min(len(own), 5)
+        if not n:
+            continue
+        wanted = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+        grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        reach = -(-len(wanted) * 5 // 4)
+        held = [(len(wanted & set(grams[k : k + reach])), -k) for k in range(len(grams))]
+        held = [h for h in held if grams[-h[1]] in wanted]
+        if held and max(held)[0] * 100 >= 80 * len(wanted):
+            yield name, max(held)[0] / len(wanted), -max(held)[1]
+
+
+def test_license_scan_equals_counting_every_stretch(spark):
+    """Templates of one to forty words, at even and odd words, with edits at and beyond the limit."""
+    texts = sorted(license_scan.TEMPLATES.items()) + [
+        (f"t{n}", prose(700 + n, n)) for n in (1, 2, 3, 4, 5, 6, 7, 9, 40)
+    ]
+    texts += [("again", texts[0][1]), ("nothing", " .. ")]
+    docs = []
+    for number, (_, text) in enumerate(texts):
+        words = text.split(" ")
+        for shift in (0, 1, 2):
+            for at in (None, 0, len(words) // 2, len(words) - 1):
+                own = [w if k != at else f"edit{k}" for k, w in enumerate(words)]
+                docs.append(" ".join([*["pad"] * shift, *own, "end", *own[: 2 * shift]]))
+    docs += [None, "", "a b c", texts[0][1] * 3]
+    rows = [(k, text, "en", "a", 0) for k, text in enumerate(docs)]
+    names = spark.createDataFrame(texts, "license string, text string")
+    got = [tuple(r) for r in license_scan.scan(frame(spark, rows), names).collect()]
+    wanted = [(k, *found) for k, text in enumerate(docs) for found in by_hand(text, texts)]
+    assert sorted(got) == sorted(wanted) and len(got) > 300
+
+
 def test_license_scan_with_full_texts(spark):
     """More shingles than fit into literals, found at their place."""
     long = [(f"l{k}", prose(900 + k, 800)) for k in range(20)]
