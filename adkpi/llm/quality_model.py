@@ -174,10 +174,15 @@ def keep_good(
     """``docs`` without the rows whose score lies below ``cutoff``; same columns."""
     measured = staged(with_figures(docs, ["doc_id"]))
     trees = train(measured, labels, **options)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                good = trees.scores(figures(part.column("text"))) >= cutoff
+                yield part.filter(pa.array(good))
+
     # Scored from the text again, which costs less than carrying whole rows through a shuffle.
-    figured = with_figures(docs, docs.columns)
-    kept = with_scores(figured, trees).filter(F.col(SCORE) >= cutoff)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_quality_model(spark, sf_dir: str) -> DataFrame:
