@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adkpi.functions.scalars import seeded_digest
@@ -12,6 +12,8 @@ from adkpi.session import staged
 
 _SPACE = 1 << 128
 _COPIES_PER_BLOCK = 10_000
+# Digests of repeated rows that are sent to every task: 16 bytes each.
+BROADCAST_DIGESTS = 500_000
 
 
 def fixed_size_sample(
@@ -55,12 +57,47 @@ def fixed_size_sample(
     return sure.unionByName(chosen).drop("_digest")
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
+def with_row_key(df: DataFrame, name: str, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """Add a text key from a row's content and its number among equal rows.
 
-    The same rows get the same keys however they are split or read. Equal rows are counted
-    first, combined before the shuffle, and dealt out again in blocks, so a line that is
-    repeated very often is neither gathered in one task nor unfolded there.
+    The same rows get the same keys however they are split or read. A first pass shuffles
+    128-bit digests alone, counted before the shuffle, and stages those that occur twice or
+    more. Rows with any other digest are the only ones of their kind: they take number 1 where
+    they are read. Only repeated rows are gathered and numbered. With more than ``broadcast``
+    repeated digests all rows are numbered by a shuffle instead, with the same keys.
+    """
+    content = _content(df)
+    digest = F.unhex(F.md5(content))
+    counted = df.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_copies"))
+    repeated = staged(counted.filter("_copies > 1").select("_digest"))
+    found = repeated.count()
+    if found > broadcast:
+        return _numbered(df, name)
+    single = df.withColumn("_digest", digest)
+    if found:
+        known = F.broadcast(repeated)
+        single = single.join(known, "_digest", "left_anti")
+    single = single.select(*df.columns, _row_key(content, F.lit(1)).alias(name))
+    if not found:
+        return single
+    again = df.withColumn("_digest", digest).join(known, "_digest", "left_semi")
+    return single.unionAll(_numbered(again.select(*df.columns), name))
+
+
+def _content(df: DataFrame) -> Column:
+    # to_json keeps cells apart and leaves absent ones out.
+    return F.to_json(F.struct(*df.columns))
+
+
+def _row_key(content: Column, copy: Column) -> Column:
+    return F.md5(F.concat_ws("|", content, copy.cast("string")))
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Keys by one shuffle of whole rows.
+
+    Equal rows are counted first, combined before the shuffle, and dealt out again in blocks,
+    so a line that is repeated very often is neither gathered in one task nor unfolded there.
     """
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
     last = F.floor((F.col("_copies") - 1) / _COPIES_PER_BLOCK)
@@ -71,10 +108,7 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     first = F.col("_block") * _COPIES_PER_BLOCK + 1
     upto = F.least("_copies", first + (_COPIES_PER_BLOCK - 1))
     numbered = one.unionAll(many).withColumn("_copy", F.explode(F.sequence(first, upto)))
-    # to_json keeps cells apart and leaves absent ones out.
-    content = F.to_json(F.struct(*df.columns))
-    key = F.md5(F.concat_ws("|", content, F.col("_copy").cast("string")))
-    return numbered.select(*df.columns, key.alias(name))
+    return numbered.select(*df.columns, _row_key(_content(df), F.col("_copy")).alias(name))
 
 
 def _cut(expected_rows: float, total: int) -> str | None:

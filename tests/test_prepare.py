@@ -199,6 +199,22 @@ def test_prepare_leaves_other_files_and_all_rows(spark, tmp_path):
         prepare.run(spark, f"{tmp_path}/prepared/split=rest", str(tmp_path))
 
 
+def test_single_rows_get_their_keys_without_a_shuffle(spark):
+    rows = [(f"a{k}", None if k % 7 == 0 else str(k)) for k in range(300)]
+    plan = with_row_key(spark.createDataFrame(rows, "a string, b string"), "k")._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString()
+
+
+def test_row_keys_are_the_same_on_either_way(spark):
+    rows = [(f"a{k % 90}", None if k % 3 == 0 else str(k % 90)) for k in range(200)]
+    rows += [("hot", "x")] * 25_000 + [(None, None)] * 3 + [("", None), (None, "")]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(5)
+    narrow, wide = (
+        sorted(with_row_key(df, "k", limit).collect(), key=lambda r: r["k"]) for limit in (1000, 0)
+    )
+    assert narrow == wide and len({r["k"] for r in narrow}) == len(rows)
+
+
 def test_sample_is_the_same_for_every_split_size(spark, tmp_path):
     lines = [f"{t % 40}\tu{t % 7}\t1\t0\t0\t\t0.5" for t in range(300)]
     lines += ["5\tsame\t1\t0\t0\t\t0.5"] * 300
