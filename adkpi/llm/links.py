@@ -10,8 +10,8 @@ Take members A and B of a list with leader P and without a common element outsid
 
 which is below the threshold for nearly all pairs; the few others are compared. Pairs with a
 common element outside P meet again in the next level, whose keys are (P, element): for a link
-B must hold all but a small part of A's elements, so a prefix of each A - P in one fixed order
-is enough. Pairs already in one component are never needed. Every level is complete; after
+B must hold all but a small part of A's elements, so a prefix of each A - P in one order for all
+of P's members, the rarest first, is enough. Pairs already in one component are never needed. Every level is complete; after
 ``LEVELS`` of them, lists that still span components are compared pair by pair.
 """
 
@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adkpi.llm.components import components
@@ -103,10 +103,12 @@ class _Linker:
         return staged(joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(count, fields))
 
     def outside(self, groups: DataFrame) -> DataFrame:
-        """``key, id``: the first elements of members (b) outside their leader (a).
+        """``key, id``: the rarest elements of members (b) outside their leader (a).
 
         For a link to an element set of ``n``, all but ``(100 - percent) * n / 100`` of a
-        member's elements are shared, so one more than that many outside ones are enough.
+        member's elements are shared, so one more than that many outside ones are enough, in
+        any one order. Rare ones come first: those of a single member use up most places and
+        make no list.
         """
         elements, percent = self.elements, self.percent
         member = self.sets.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -124,21 +126,28 @@ class _Linker:
                     alone = mine.copy()
                     alone[1:] &= (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
                     grams, owner = grams[alone], owner[alone]
-                    counts = np.bincount(owner, minlength=len(n2))
-                    place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
-                    wanted = place <= n2[owner] * (100 - percent) // 100
-                    rows = pa.array(owner[wanted])
+                    rows = pa.array(owner)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("a").take(rows),
                             part.column("b").take(rows),
-                            pa.array(grams[wanted].view(np.int64)),
+                            pa.array(grams.view(np.int64)),
+                            pa.array((n2 * (100 - percent) // 100 + 1)[owner].astype(np.int32)),
                         ],
-                        names=["a", "id", "gram"],
+                        names=["a", "id", "gram", "places"],
                     )
 
-        posted = joined.select("a", "b", "ta", "tb").mapInArrow(post, "a long, id long, gram long")
-        return posted.select(F.xxhash64("a", "gram").alias("key"), "id").distinct()
+        fields = "a long, id long, gram long, places int"
+        alone = joined.select("a", "b", "ta", "tb").mapInArrow(post, fields)
+        # The texts are read once; the elements are needed to be counted and to be ranked.
+        alone = staged(alone.dropDuplicates(["a", "id", "gram"]))
+        shared = alone.groupBy("a", "gram").agg(F.count("*").alias("_f")).filter("_f > 1")
+        ranked = alone.join(shared, ["a", "gram"], "left").withColumn(
+            "_place",
+            F.row_number().over(Window.partitionBy("a", "id").orderBy(F.coalesce("_f", F.lit(1)), "gram")),
+        )
+        wanted = ranked.filter("_place <= places and _f is not null")
+        return wanted.select(F.xxhash64("a", "gram").alias("key"), "id").distinct()
 
     def keep(self, compared: DataFrame) -> None:
         self.edges.append(compared.filter("linked").select("a", "b"))

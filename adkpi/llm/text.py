@@ -98,6 +98,25 @@ def range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Like ``range_hashes``, with other values: all words of all ranges at once, then sums.
+
+    Faster where a few ranges are very long, as those need no step for each of their words.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    blocks = np.maximum(-(-(end - start) // 8), 1)
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + number * 8
+    low = _LOW_BYTES[np.minimum(np.repeat(end, blocks) - at, 8)]
+    place = mix((number + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.add.reduceat(mix((words[at] & low) ^ place), first)
+    return mix(sums + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingles(
     hashes: np.ndarray, owner: np.ndarray, owners: int, size: int
 ) -> tuple[np.ndarray, np.ndarray]:
