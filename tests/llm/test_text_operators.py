@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from adkpi.llm import license_scan, line_dedup, packing, quality_rules, source_mix, token_codec
 from adkpi.llm.minhash_dedup import deduplicate
 from adkpi.llm.queries import ORACLE, QUERIES
+from adkpi.llm.text import buffers, span_hashes
 from adkpi.llm.tokens import default_vocabulary, encoder
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -271,6 +272,63 @@ def test_line_dedup_of_repeated_content(spark):
     assert dict(lines_left(rows))[2] == ""
 
 
+def test_line_signatures_are_least_products():
+    rng = np.random.default_rng(2)
+    counts = np.array([1, 31, 32, 33, 64, 500, 2])
+    hashes = rng.integers(0, 1 << 64, counts.sum(), dtype=np.uint64)
+    got = line_dedup.signatures(hashes, counts)
+    seeds = [int(x) for x in line_dedup._SEEDS]
+    assert len(set(seeds)) == len(seeds) and all(x % 2 for x in seeds)
+    for row, part in zip(got, np.split(hashes, np.cumsum(counts)[:-1])):
+        high = [int(h) >> 32 for h in part]
+        assert row.tolist() == [min(h * x % (1 << 32) for h in high) for x in seeds]
+    # Order and repeats make no difference.
+    part = hashes[64:97]
+    again = rng.permutation(np.concatenate((part, part[:9])))
+    one, two = (line_dedup.bands(x, np.array([len(x)]))[0] for x in (part, again))
+    assert (one == two).all()
+    assert line_dedup.bands(hashes[:0], counts[:0])[0].size == 0
+
+
+@pytest.mark.parametrize("size", [10, 90, 400])
+def test_lines_at_the_threshold_share_a_band(size):
+    rng = np.random.default_rng(size)
+    pairs, both = 3000, -(-size * 8 // 9)  # a similarity of 0.8
+    one, two = (rng.integers(0, 1 << 64, (pairs, size), dtype=np.uint64) for _ in range(2))
+    two[:, :both] = one[:, :both]
+    keys = [
+        line_dedup.bands(x.ravel(), np.full(pairs, size))[0].reshape(pairs, -1) for x in (one, two)
+    ]
+    assert (keys[0] == keys[1]).any(1).mean() > 0.99
+
+
+def test_span_hashes_tell_ranges_apart():
+    texts = ["", "a", "a\x00", "abcdefgh", "abcdefghabcdefgh", "abcdefghi", "ihgfedcba" * 50]
+    texts += ["12345678abcdefgh", "abcdefgh12345678", "x" * 100_000, "x" * 100_001]
+    raw, offsets = buffers(pa.array([*texts, *texts]))
+    got = span_hashes(raw, offsets[:-1], offsets[1:])
+    assert (got[: len(texts)] == got[len(texts) :]).all()
+    assert len(set(got.tolist())) == len(texts)
+    assert span_hashes(raw, offsets[:0], offsets[:0]).size == 0
+
+
+def test_lists_of_two_or_more(spark):
+    """Every key with two ids stays whole, also one that covers several partitions."""
+    rows = [(7, k) for k in range(3000)] + [(k, 1) for k in range(100, 3000)]
+    rows += [(k, 2) for k in range(100, 3000, 10)]
+    postings = spark.createDataFrame(rows, "key long, id long").repartition(5)
+    got = [tuple(r) for r in line_dedup.met(postings).collect()]
+    by_key = {}
+    for key, i in rows:
+        by_key.setdefault(key, []).append(i)
+    want = {(k, i) for k, ids in by_key.items() if len(ids) > 1 for i in ids}
+    assert len(got) == len(set(got)) and want <= set(got) <= set(rows)
+    # Beside whole lists only first and last rows of partitions.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(set(got) - want) <= 2 * parts
+    assert line_dedup.met(postings.limit(0)).count() == 0
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     """Rows without an id, or with one id and different texts, keep their own lines."""
     rng = np.random.default_rng(5)
