@@ -17,9 +17,10 @@ from fixtures_llm import (
     without_repeats,
 )
 
-from adkpi.llm import boosting, minhash_dedup, pivot_search, quality_model, suffix_dedup
+from adkpi.llm import boosting, links, minhash_dedup, pivot_search, quality_model, suffix_dedup
 from adkpi.llm.components import components
 from adkpi.llm.links import linked_pairs
+from adkpi.session import settings
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -72,6 +73,64 @@ def test_a_pair_at_the_threshold_is_hardly_ever_missed():
     assert short < 1e-5
 
 
+def test_a_pair_at_the_threshold_meets_in_a_band():
+    bands = minhash_dedup.COORDINATES // minhash_dedup.MATCHES
+    for p, most in ((0.85, 1e-6), (0.8, 4e-5)):
+        assert (1 - p**minhash_dedup.MATCHES) ** bands < most
+
+
+def near_copies(count):
+    """Word lists of several templates, with edits: pairs far from any leader, chains, cuts."""
+    rng = np.random.default_rng(23)
+    texts = {}
+    for k in range(count):
+        words = [f"t{k % 3}w{j}" if j % 4 else f"w{j}" for j in range(160)]
+        for at in rng.integers(0, 160, int(rng.integers(0, 14))):
+            words[at] = f"e{rng.integers(0, 30)}"
+        texts[k] = words[: 160 - 5 * int(rng.integers(0, 8))]
+    return texts
+
+
+@pytest.mark.parametrize("family", [8, 128])
+def test_links_in_large_families(spark, monkeypatch, family):
+    """Families beyond the bound go by blocks, leaders and what lies outside those."""
+    monkeypatch.setattr(links, "FAMILY", family)
+    monkeypatch.setattr(links, "_BLOCK", family // 2)
+    texts = near_copies(150)
+    home = groups({k: shingles(" ".join(w)) for k, w in texts.items()}, 85)
+    sized = spark.createDataFrame(
+        [(k, len(shingles(" ".join(w))), " ".join(w)) for k, w in texts.items()],
+        "id long, n long, text string",
+    )
+    # Lists of neighbours that overlap, and one that holds everything.
+    lists = [(k // 7, k) for k in texts] + [(100 + k // 11, k) for k in texts] + [(-1, k) for k in texts]
+    edges = linked_pairs(
+        spark.createDataFrame(lists, "key long, id long"),
+        lambda wanted: sized.join(wanted, "id", "left_semi"),
+        minhash_dedup.distinct_grams,
+        85,
+    )
+    linked = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert {k: linked.get(k, k) for k in texts} == home
+
+
+def test_links_in_groups_of_any_size(spark):
+    """Whole groups, also those that go on in another batch; no edge between groups."""
+    texts = near_copies(150)
+    rows, home = [], {}
+    for group, (start, stop) in enumerate([(0, 1), (1, 3), (3, 10), (10, 19), (19, 150)]):
+        rows += [(group, k, " ".join(texts[k])) for k in range(start, stop)]
+        home |= groups({k: shingles(" ".join(texts[k])) for k in range(start, stop)}, 85)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        edges = links.links_in_groups(
+            spark.createDataFrame(rows, "grp long, id long, text string"),
+            minhash_dedup.distinct_grams,
+            85,
+        )
+        linked = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert {k: linked.get(k, k) for k in home} == home
+
+
 def test_links_in_a_long_list(spark):
     """Members far from every leader but close to each other, and chains, are not lost."""
     rng = np.random.default_rng(11)
