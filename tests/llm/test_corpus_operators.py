@@ -4,6 +4,7 @@ import math
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures_llm import (
     SCHEMA,
@@ -114,6 +115,68 @@ def test_links_in_large_families(spark, monkeypatch, family):
     assert {k: linked.get(k, k) for k in texts} == home
 
 
+def test_links_in_wide_families(spark, monkeypatch):
+    """Families of thousands meet in one task; their links are those of all pairs of a list."""
+    monkeypatch.setattr(links._Linker, "blocks", None)  # no further jobs
+    rng = np.random.default_rng(7)
+    texts, home = {}, {}
+    for k in range(2100):
+        kind = k % 700
+        words = [f"t{kind // 7}w{j}" for j in range(30)] + [f"k{kind}w{j}" for j in range(12)]
+        if k % 3 == 0:
+            words[int(rng.integers(0, 40))] = f"e{k}"
+        texts[k] = " ".join(words)
+        home.setdefault(kind, k)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    want = {}
+    for kind in range(700):
+        same = range(kind, 2100, 700)
+        want |= groups({k: sets[k] for k in same}, 80)
+    sized = spark.createDataFrame(list(texts.items()), "id long, text string")
+    # One list of each kind's members, and lists that hold thousands.
+    lists = [(k % 700, k) for k in texts] + [(-1, k) for k in texts] + [(-2, k) for k in texts if k % 5]
+    edges = linked_pairs(
+        spark.createDataFrame(lists, "key long, id long"),
+        lambda wanted: sized.join(wanted, "id", "left_semi"),
+        minhash_dedup.distinct_grams,
+        80,
+    )
+    linked = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert {k: linked.get(k, k) for k in texts} == want
+
+
+@pytest.mark.parametrize("bits", [64 * 150, 1 << 29])
+def test_links_by_leaders_and_lists(monkeypatch, bits):
+    """The same components as from a table of all members, for one list and for several."""
+    monkeypatch.setattr(links, "_BITS", bits)
+    monkeypatch.setattr(links, "_LEADERS", 3)
+    texts = near_copies(150)
+    grams, counts = minhash_dedup.distinct_grams(pa.array(" ".join(w) for w in texts.values()))
+    group = np.zeros(150, np.int64)
+    keys = pa.array([[0, 1 + k % 2] for k in range(150)], pa.list_(pa.int64()))
+    found = []
+    for table, sorted_at_once in ((1000, 1 << 22), (10, 1 << 22), (10, 1000)):
+        monkeypatch.setattr(links, "_TABLE", table)
+        monkeypatch.setattr(links, "_SORTED", sorted_at_once)
+        a, b = links._linked(grams, counts, group, 85, keys)
+        found.append(links.least_reached(a, b, 150).tolist())
+    assert found[0] == found[1] == found[2] and len(set(found[0])) < 150
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr("adkpi.llm.components._FEW", few)
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 140)]
+    home = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in home:
+        for a, b in pairs:
+            if a != b:
+                home[a] = home[b] = min(home[a], home[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == home and len(got) == len(home)
+
+
 def test_links_in_groups_of_any_size(spark):
     """Whole groups, also those that go on in another batch; no edge between groups."""
     texts = near_copies(150)

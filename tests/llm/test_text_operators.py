@@ -1,7 +1,9 @@
 """Token, text and line operators on odd documents, against plain Python."""
 
+import os
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from adkpi.llm import license_scan, line_dedup, packing, quality_rules, source_mix, token_codec
 from adkpi.llm.minhash_dedup import deduplicate
 from adkpi.llm.queries import ORACLE, QUERIES
-from adkpi.llm.text import buffers, span_hashes
+from adkpi.llm.text import buffers, order_of, span_hashes
 from adkpi.llm.tokens import default_vocabulary, encoder
+from adkpi.session import checkpoint_dir
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -329,6 +332,31 @@ def test_lists_of_two_or_more(spark):
     assert line_dedup.met(postings.limit(0)).count() == 0
 
 
+def test_order_of_values():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    values[::7] = values[3] ^ np.arange(len(values[::7]), dtype=np.uint64) % np.uint64(5)
+    for some in (values, values[:0], values[:1], values >> np.uint64(50)):
+        assert (order_of(some) == np.argsort(some, kind="stable")).all()
+
+
+def test_met_counts_an_item_once(spark):
+    """Postings that come again make no list; keys of several blocks meet."""
+    rows = [(k % 40, k % 8) for k in range(400)] + [(1000 + k, 5) for k in range(50)] * 3
+    got = [tuple(r) for r in line_dedup.met(spark.createDataFrame(rows, "key long, id long").repartition(6)).collect()]
+    want = Counter(k for k, _ in set(rows))
+    assert sorted(got) == sorted(r for r in set(rows) if want[r[0]] > 1)
+
+
+def test_line_dedup_leaves_one_frame(spark):
+    """What is staged on the way is dropped as soon as the removed lines are known."""
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = line_dedup.deduplicate_lines(frame(spark))
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert got.count() == len(documents())
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     """Rows without an id, or with one id and different texts, keep their own lines."""
     rng = np.random.default_rng(5)
