@@ -36,7 +36,7 @@ from adkpi.llm.components import components
 from adkpi.llm.links import linked_pairs
 from adkpi.llm.shipping import ship
 from adkpi.llm.text import buffers, lower_ascii, mix, range_hashes, shingles, slices, words
-from adkpi.session import staged
+from adkpi.session import frames_dropped, staged
 
 SHINGLE = 5
 PERCENT = 85
@@ -127,40 +127,42 @@ def near_duplicates(
         F.xxhash64("text").alias("key"),
         F.col("text").cast("string"),
     )
-    signed = staged(_scan(own, size))
-    kind = ["n", "f1", "f2"]
-    # Several classes can have one least id, if it stands for several texts: they are numbered.
-    classes = staged(
-        signed.groupBy(*kind)
-        .agg(F.min(F.struct("id", "key", "sig")).alias("_least"))
-        .select(
-            *kind,
-            F.monotonically_increasing_id().alias("id"),
-            F.col("_least.id").alias("doc"),
-            "_least.key",
-            "_least.sig",
+    with frames_dropped(docs.sparkSession):
+        signed = staged(_scan(own, size))
+        kind = ["n", "f1", "f2"]
+        # Several classes can have one least id, if it stands for several texts: they are numbered.
+        classes = staged(
+            signed.groupBy(*kind)
+            .agg(F.min(F.struct("id", "key", "sig")).alias("_least"))
+            .select(
+                *kind,
+                F.monotonically_increasing_id().alias("id"),
+                F.col("_least.id").alias("doc"),
+                "_least.key",
+                "_least.sig",
+            )
         )
-    )
-    postings = candidate_lists(classes.select("id", "sig"), matches)
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.select("id", "n", "doc", "key").join(ids, "id", "left_semi")
-        texts = own.select(F.col("id").alias("doc"), "key", "text").join(wanted, ["doc", "key"])
-        # Rows that repeat both id and text give a class's text again.
-        return texts.dropDuplicates(["id"]).select("id", "n", "text")
-
-    def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return distinct_grams(texts, size)
-
-    known = staged(components(linked_pairs(postings, texts_of, elements, percent, unique=True)))
-    # A component is named by its least document id.
-    named = known.join(classes.select("id", "doc"), "id")
-    least = named.groupBy("component").agg(F.min("doc").alias("_least"))
-    known = known.join(least, "component").select("id", "_least")
-    known = classes.select("id", "doc", *kind).join(known, "id", "left")
-    known = known.select(*kind, F.coalesce("_least", "doc").alias("component"))
-    joined = signed.select("id", "key", *kind).join(known, kind)
-    return joined.select("id", "key", F.col("n").alias("n_shingles"), "component")
+        postings = candidate_lists(classes.select("id", "sig"), matches)
+
+        def texts_of(ids: DataFrame) -> DataFrame:
+            wanted = classes.select("id", "n", "doc", "key").join(ids, "id", "left_semi")
+            texts = own.select(F.col("id").alias("doc"), "key", "text").join(wanted, ["doc", "key"])
+            # Rows that repeat both id and text give a class's text again.
+            return texts.dropDuplicates(["id"]).select("id", "n", "text")
+
+        def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return distinct_grams(texts, size)
+
+        known = staged(components(linked_pairs(postings, texts_of, elements, percent, unique=True)))
+        # A component is named by its least document id.
+        named = known.join(classes.select("id", "doc"), "id")
+        least = named.groupBy("component").agg(F.min("doc").alias("_least"))
+        known = known.join(least, "component").select("id", "_least")
+        known = classes.select("id", "doc", *kind).join(known, "id", "left")
+        known = known.select(*kind, F.coalesce("_least", "doc").alias("component"))
+        joined = signed.select("id", "key", *kind).join(known, kind)
+        found = joined.select("id", "key", F.col("n").alias("n_shingles"), "component")
+        return staged(found, lasting=True)
 
 
 @passing_aside
